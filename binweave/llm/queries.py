@@ -12,14 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from binweave.llm import bpe, isomedia, langid, quality_fm, toxic_mil
-from binweave.llm._common import attach, held_out, texts
+from binweave.llm import bpe, isomedia, langid, quality_fm, toxic_mil, warc
+from binweave.llm._common import attach, held_out, shared_dir, texts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark, "warc")
+    files = warc.write(_table(spark, sf_dir, "pages"), folder)
+    records = warc.read(files, folder, with_payload=False)
+    return records.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"), "url", "offset")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.fit(docs)
@@ -69,7 +76,7 @@ def op9_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op5_media_columns, op6_byte_bpe, op7_quality_fm, op9_toxicity_mil)}
+    return {f.__name__: f for f in (op1_warc, op3_language_id, op5_media_columns, op6_byte_bpe, op7_quality_fm, op9_toxicity_mil)}
 
 
 def oracle_sql() -> dict[str, str]:
