@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from binweave.llm import bpe, isomedia, langid, quality_fm, toxic_mil, warc
+from binweave.llm import bpe, isomedia, langid, preference, quality_fm, style_tree, toxic_mil, warc
 from binweave.llm._common import attach, held_out, shared_dir, texts
 
 
@@ -27,6 +27,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"), "url", "offset")
 
 
+def op2_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return style_tree.extract(pages, keep=["page_id", "url"])
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.fit(docs)
@@ -34,6 +39,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score", "lang_accepted")
 
 
+def op4_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations holds no pairs, so a conversation is the chosen side, and the rejected side gives a stale last answer."""
+    chosen = preference.conversations(_table(spark, sf_dir, "conversations"), name="chosen")
+    out = preference.format_pairs(chosen.withColumn("rejected", preference.stale_answer(F.col("chosen"))), "chosen", "rejected")
+    digest = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["stop"].cast("string"))), ",")
+    return out.withColumns({c: digest(F.col(c)) for c in ("chosen_mask", "rejected_mask")})
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
     stored = isomedia.store_text(docs, "text", keep=["doc_id", "n_bytes"])
@@ -76,8 +89,8 @@ def op9_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op3_language_id, op5_media_columns, op6_byte_bpe, op7_quality_fm, op9_toxicity_mil)}
+    return {f.__name__: f for f in (op1_warc, op2_site_style_tree, op3_language_id, op4_preference_pairs, op5_media_columns, op6_byte_bpe, op7_quality_fm, op9_toxicity_mil)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_preference_pairs": preference.ORACLE_SQL}
