@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from binweave.llm import bpe, isomedia, langid, preference, quality_fm, style_tree, toxic_mil, warc
+from binweave.llm import bpe, chosen_path, isomedia, langid, preference, quality_fm, style_tree, toxic_mil, warc
 from binweave.llm._common import attach, held_out, shared_dir, texts
 
 
@@ -88,8 +88,12 @@ def op9_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted", "n_sentences", F.size("spans").alias("n_offending"), F.col("spans").alias("offending"))
 
 
+def op10_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_site_style_tree, op3_language_id, op4_preference_pairs, op5_media_columns, op6_byte_bpe, op7_quality_fm, op9_toxicity_mil)}
+    return {f.__name__: f for f in (op1_warc, op2_site_style_tree, op3_language_id, op4_preference_pairs, op5_media_columns, op6_byte_bpe, op7_quality_fm, op9_toxicity_mil, op10_chosen_path_join)}
 
 
 def oracle_sql() -> dict[str, str]:
