@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from binweave.llm import bpe, chosen_path, isomedia, langid, preference, quality_fm, style_tree, toxic_mil, warc
+from binweave.llm import bpe, chosen_path, isomedia, langid, lsa_decontam, preference, quality_fm, style_tree, toxic_mil, warc
 from binweave.llm._common import attach, held_out, shared_dir, texts
 
 
@@ -81,6 +81,12 @@ def op7_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
 
 
+def op8_lsa_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = lsa_decontam.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "contaminated", F.col("leaks.item").alias("item_ids"), F.round(F.array_max("leaks.lcs"), 6).alias("lcs"), "leaks")
+
+
 def op9_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxic_mil.fit(docs, _table(spark, sf_dir, "labels"))
@@ -93,7 +99,7 @@ def op10_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_site_style_tree, op3_language_id, op4_preference_pairs, op5_media_columns, op6_byte_bpe, op7_quality_fm, op9_toxicity_mil, op10_chosen_path_join)}
+    return {f.__name__: f for f in (op1_warc, op2_site_style_tree, op3_language_id, op4_preference_pairs, op5_media_columns, op6_byte_bpe, op7_quality_fm, op8_lsa_decontamination, op9_toxicity_mil, op10_chosen_path_join)}
 
 
 def oracle_sql() -> dict[str, str]:
