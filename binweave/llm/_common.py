@@ -48,6 +48,19 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def row_key(key: str, text: str) -> Column:
+    """(k, h): what tells rows apart where ids repeat or are null: the id and a hash of the text."""
+    return F.struct(F.col(f"`{key}`").alias("k"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("h"))
+
+
+def without(df: DataFrame, keys: DataFrame, key: str, text: str) -> DataFrame:
+    """df without the rows whose row_key is among keys (one struct column). Spark broadcasts keys, stored as a file, where the file's
+    size is below spark.sql.autoBroadcastJoinThreshold, and joins by sorting otherwise."""
+    name, have = free_name(df, "_key"), keys.select(F.col(keys.columns[0])["k"].alias("_k"), F.col(keys.columns[0])["h"].alias("_h"))
+    rows = df.withColumn(name, row_key(key, text))
+    return rows.join(have, rows[name]["k"].eqNullSafe(have["_k"]) & (rows[name]["h"] == have["_h"]), "left_anti").drop(name)
+
+
 def remainder(doc_id: Column, mod: int) -> Column:
     """crc32 of doc_id as text modulo mod; null for a null doc_id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % mod

@@ -167,8 +167,8 @@ def decode(df: DataFrame, ids: str, vocabulary: str, pattern: str, decoded: str
     return attach(df, ids, [(decoded, T.BinaryType())], make, keep)
 
 
-def round_trip(df: DataFrame, text: str, vocabulary: str, pattern: str, keep: list[str] | None = None) -> DataFrame:
-    """df with n_tokens, ids_sha256 and decoded_sha256: encodes and decodes in one pass, without ids leaving the task."""
+def round_trip(df: DataFrame, text: str, vocabulary: str, pattern: str, with_ids: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """df with n_tokens, ids_sha256 and decoded_sha256, and the ids themselves if with_ids: encodes and decodes in one pass."""
     with open(vocabulary, "rb") as f:
         ranks = f.read()
 
@@ -181,8 +181,9 @@ def round_trip(df: DataFrame, text: str, vocabulary: str, pattern: str, keep: li
                 pa.array([len(x) // 4 for x in ids], pa.int64()),
                 pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
                 pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in ids], pa.string()),
+                *([pa.array(ids, pa.binary())] if with_ids else []),
             ]
 
         return work
 
-    return attach(df, text, [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())], make, keep)
+    return attach(df, text, [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()), *([("ids", T.BinaryType())] if with_ids else [])], make, keep)

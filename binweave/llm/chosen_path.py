@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from binweave.llm._common import delete, shared_dir, slices, stored, utf8
+from binweave.llm._common import delete, row_key, shared_dir, slices, stored, utf8, without
 from binweave.llm.words import distinct, mix, shingles, words
 
 #: Similarity, shingle words, recall of a pair just at the similarity, tokens of a path at most, bucket size that is compared outright,
@@ -274,3 +274,20 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: f
     out = narrow.join(known, "sig", "left")
     copy = F.coalesce("copy_id", "id")
     return out.select(F.col("id").alias(key), F.coalesce("class_id", copy).alias("class_id"), copy.alias("copy_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
+    """docs with one row of each class: that of the least id (a null id is the least). Of rows with the same id and text one stays."""
+    folder = folder or shared_dir(docs.sparkSession, "deduplicate")
+    keyed = docs.select(row_key(key, text).alias("key"), F.col(f"`{text}`").alias("text"))
+    found = stored(join(keyed, "key", "text", folder=f"{folder}/join").select("key", "class_id"), f"{folder}/classes")
+    kept = without(docs, stored(found.where("key <> class_id").select("key").distinct(), f"{folder}/dropped"), key, text)
+    again = stored(found.where("key = class_id").groupBy("key").count().where("count > 1").select("key"), f"{folder}/again")
+    if again.isEmpty():
+        return kept
+    name = "_again"
+    while name in kept.columns:
+        name = "_" + name
+    once = kept.withColumn(name, row_key(key, text))
+    repeated = once.join(again.select(F.col("key").alias(name)), name, "left_semi").dropDuplicates([name]).select(*[f"`{c}`" for c in docs.columns])
+    return without(kept, again, key, text).unionByName(repeated)

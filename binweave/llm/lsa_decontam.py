@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from binweave.llm._common import SLICE_BYTES, delete, shared_dir, slices, stored, utf8
+from binweave.llm._common import SLICE_BYTES, delete, row_key, shared_dir, slices, stored, utf8, without
 from binweave.llm.words import words
 
 WINDOW, STOP, RANK, OVERSAMPLE, BLOCK, GROUP = 48, 0.05, 256, 24, 200, 4000
@@ -366,3 +366,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     per_row = best.groupBy("row").agg(F.sort_array(F.collect_list("leak")).alias("leaks"))
     out = table.join(per_row, "row", "left")
     return out.select(F.col("id").alias(key), F.col("leaks").isNotNull().alias("contaminated"), F.coalesce("leaks", F.array().cast(leak)).alias("leaks"))
+
+
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
+    """docs without the contaminated rows; rows with the same id and text go together."""
+    folder = folder or shared_dir(docs.sparkSession, "remove-leaks")
+    keyed = docs.select(row_key(key, text).alias("key"), F.col(f"`{text}`").alias("text"))
+    found = decontaminate(keyed, benchmark, "key", "text", folder=f"{folder}/found")
+    return without(docs, stored(found.where("contaminated").select("key").distinct(), f"{folder}/leaked"), key, text)
