@@ -1,0 +1 @@
+"""Streams: none. A table is fixed once it is encoded, and its only state is the filters, so there is nothing for a stream to do."""
