@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from binweave.llm._common import attach, class_sample, held_out, utf8
+from binweave.llm._common import SLICE_BYTES, attach, class_sample, held_out, utf8
 from binweave.llm.words import Words, distinct, segment_sum, words
 
 BITS, RANK, BINS = 16, 8, 24
@@ -104,8 +104,13 @@ def train(docs: list[bytes], y: np.ndarray, chars: np.ndarray, prior: float | No
         return model
     y = np.asarray(y, np.float64)
     rng = np.random.default_rng(seed)
-    off = np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype(np.int64)
-    place, x, first = features(np.frombuffer(b"".join(docs), np.uint8), off, np.asarray(chars))
+    rows: list[tuple[np.ndarray, np.ndarray]] = []
+    while (k := len(rows)) < len(docs):  # a slice at a time, for the driver's memory
+        size = np.cumsum([len(d) for d in docs[k : k + 500]])
+        part = docs[k : k + max(1, int(np.searchsorted(size, SLICE_BYTES, side="right")))]
+        off = np.concatenate([[0], size[: len(part)]]).astype(np.int64)
+        place, x, first = features(np.frombuffer(b"".join(part), np.uint8), off, np.asarray(chars[k : k + len(part)]))
+        rows += [(place[a:b].copy(), x[a:b].copy()) for a, b in zip(first[:-1], first[1:], strict=True)]
     model.factors = rng.normal(0, 0.02, (SIZE, RANK)).astype(np.float32)
     w, v = model.weights, model.factors
     gw, gv, gb = np.full(SIZE, 1e-3, np.float32), np.full((SIZE, RANK), 1e-3, np.float32), 1e-3
@@ -114,7 +119,7 @@ def train(docs: list[bytes], y: np.ndarray, chars: np.ndarray, prior: float | No
     weight = np.where(y == 1, 0.5 / mean, 0.5 / (1 - mean))
     for _ in range(epochs):
         for i in rng.permutation(len(docs)):
-            at, xi = place[first[i] : first[i + 1]], x[first[i] : first[i + 1]]
+            at, xi = rows[i]
             vi = v[at]
             vx = vi * xi[:, None]
             total = vx.sum(0)
