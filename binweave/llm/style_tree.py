@@ -39,6 +39,8 @@ NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs topbar footer header masthead cookie cookies consent notice notices gdpr popup modal overlay"
     " newsletter subscribe subscription signup login social share sharing related recommended recommendations widget widgets comments comment commentlist disqus replies reply respond toolbar pagination pager paging copyright disclaimer skip hidden".split()
 )
+#: Of NAMES, those that also hold for an article or main element.
+NO_ARTICLE = frozenset("ad ads advert adverts advertisement sponsor sponsored promo comment comments reply replies related recommended widget".split())
 CONTENT = frozenset("article articlebody content maincontent post postbody entry entrycontent story storybody".split())
 FLOW = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table tbody thead tr td th figure figcaption article main body html".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
@@ -60,7 +62,7 @@ def _label(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
     parts = {w.lower() for c in classes for w in _WORDS.findall(c)}
     drop = tag in DROPPED or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true"
     content = found.get("role", "").lower() == "main" or found.get("itemprop", "").lower() == "articlebody" or any(re.sub(r"[^a-z]", "", c.lower()) in CONTENT for c in classes)
-    if tag not in ("article", "main", "body", "html") and not content and parts & NAMES:
+    if parts & (NO_ARTICLE if tag in ("article", "main") else NAMES) and tag not in ("body", "html") and not content:
         drop = True
     return f"{tag}.{'.'.join(re.sub(r'[0-9]+', '#', c) for c in classes)}", drop, content, tag in FLOW and not classes
 
