@@ -2,8 +2,8 @@
 
 Texts become runs of word ids of the benchmark's vocabulary, stored once. Passages of WINDOW words are TF-IDF rows (document frequencies
 over all passages of the corpus; words in more than STOP of them weigh nothing, unless a benchmark item would have fewer than 3 weighted
-words). A single-pass randomised SVD (Nystroem) of all corpus passages, with the benchmark's own passages as further rows of the weight
-of the largest singular value, gives a latent space of RANK dimensions: tasks sum A'(A Omega), the driver solves the small rest. Windows of
+words). A single-pass randomised SVD (Nystroem, SKETCH columns) of all corpus passages, with the benchmark's own passages as further rows
+of the weight of the largest singular value, gives a latent space of RANK dimensions: tasks sum A'(A Omega), the driver solves the rest. Windows of
 each text, overlapping by half, whose cosine with a benchmark passage passes COSINE are candidates, all of them. A candidate is a leak if the
 longest common subsequence of words with the stretch of the text that best fits the item covers MOST of the item, or PART of it
 and ANSWER of its answer (its last sentence). Items of fewer than 8 words must occur word for word.
@@ -27,10 +27,10 @@ from pyspark.sql import types as T
 from binweave.llm._common import SLICE_BYTES, delete, row_key, shared_dir, slices, stored, utf8, without
 from binweave.llm.words import words
 
-WINDOW, STOP, RANK, OVERSAMPLE, BLOCK, GROUP = 48, 0.05, 256, 24, 200, 4000
+WINDOW, STOP, RANK, SKETCH, BLOCK, GROUP = 64, 0.02, 232, 56, 200, 4000
 COSINE, MOST, PART, ANSWER = 0.55, 0.75, 0.55, 0.8
 #: Word ids of a text handled at once, and the pieces in which term vectors are summed.
-IDS, PIECES = 1 << 19, 32
+IDS, PIECES = 1 << 18, 32
 _HALF = WINDOW // 2
 
 
@@ -100,16 +100,21 @@ def pieces(items: list[Item]) -> list[tuple[int, np.ndarray]]:
     return out
 
 
-def passages(ids: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (passage, term) with term = id - 1, sorted, and the passages' first place in each text; texts are cut every size words."""
+def passages(ids: np.ndarray, first: np.ndarray, size: int, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (passage, term) with term = id - 1, by passage, and the passages' first place in each text; texts are cut every size
+    words. used: by id, whether a term is wanted."""
     n = np.diff(first)
-    count = -(-n // size)
-    begin = np.concatenate([[0], np.cumsum(count)])
-    doc = np.repeat(np.arange(len(n)), n)
-    passage = begin[doc] + (np.arange(len(ids)) - first[doc]) // size
-    known = np.flatnonzero(ids)
-    code = np.unique(passage[known].astype(np.int64) << 32 | (ids[known].astype(np.int64) - 1))
-    return code >> 32, code & 0xFFFFFFFF, begin
+    begin = np.concatenate([[0], np.cumsum(-(-n // size))])
+    at = np.flatnonzero(ids if used is None else used[ids])
+    doc = np.searchsorted(first, at, side="right") - 1
+    passage, term = begin[doc] + (at - first[doc]) // size, ids[at]
+    order = np.argsort(term, kind="stable")
+    t, p = term[order], passage[order]
+    new = np.ones(len(t), bool)
+    new[1:] = (t[1:] != t[:-1]) | (p[1:] != p[:-1])
+    kept = np.zeros(len(t), bool)
+    kept[order[new]] = True
+    return passage[kept], term[kept].astype(np.int64) - 1, begin
 
 
 def _texts(batch: pa.RecordBatch, kind: type) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -164,16 +169,6 @@ def weights(df: np.ndarray, n: int, items: list[Item]) -> np.ndarray:
     return np.where(stop, 0, idf)
 
 
-def _rows(passage: np.ndarray, term: np.ndarray, weight: np.ndarray, unit: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weighted entries of passages: passage, term, value; of length 1 each if unit."""
-    x = weight[term]
-    used = np.flatnonzero(x)
-    passage, term, x = passage[used], term[used], x[used]
-    if unit and len(x):
-        x = x / np.sqrt(np.bincount(passage, x * x))[passage]
-    return passage, term, x.astype(np.float32)
-
-
 def _products(passage: np.ndarray, term: np.ndarray, x: np.ndarray, omega: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Terms and their rows of A'(A omega) for the entries of some passages, sorted by passage."""
     new = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
@@ -187,7 +182,7 @@ def _products(passage: np.ndarray, term: np.ndarray, x: np.ndarray, omega: np.nd
 
 def sketch(table: DataFrame, vocabulary: Vocabulary, weight: np.ndarray, columns: int, seed: int = 11) -> np.ndarray:
     """A'(A Omega) over all passages of the corpus; partial sums are as many as 2 for each core."""
-    size, kind = len(weight), vocabulary.kind
+    size, kind, used = len(weight), vocabulary.kind, np.append(False, weight > 0)
     cut = np.linspace(0, size, PIECES + 1).astype(int)
 
     def partial(batches):
@@ -195,10 +190,11 @@ def sketch(table: DataFrame, vocabulary: Vocabulary, weight: np.ndarray, columns
         z = np.zeros((size, columns), np.float32)
         for batch in batches:
             for _, ids, first in _texts(batch, kind):
-                passage, term, _ = passages(ids, first, WINDOW)
-                passage, term, x = _rows(passage, term, weight, True)
-                for a in range(0, len(x), 1 << 16):
-                    b = min(a + (1 << 16), len(x))
+                passage, term, _ = passages(ids, first, WINDOW, used)
+                x = weight[term]
+                x = (x / np.sqrt(np.bincount(passage, x * x))[passage] if len(x) else x).astype(np.float32)  # rows of length 1
+                for a in range(0, len(x), 1 << 14):
+                    b = min(a + (1 << 14), len(x))
                     a = a if not a else int(np.searchsorted(passage, passage[a]))
                     b = b if b == len(x) else int(np.searchsorted(passage, passage[b]))
                     if a < b:
@@ -226,17 +222,17 @@ def _omega(size: int, columns: int, seed: int) -> np.ndarray:
 
 
 def latent_space(z: np.ndarray, own: np.ndarray, rank: int = RANK, seed: int = 11) -> np.ndarray:
-    """Leading right singular vectors (terms x rank) of the corpus (z = A'A Omega) with the rows own as heavy as its largest one."""
+    """Leading right singular vectors (terms x rank) of the corpus (z = A'A Omega) with the rows own as heavy as its largest one: the
+    corpus by Nystroem's approximation from its sketch, then all exactly in the span of both."""
     omega = _omega(*z.shape, seed).astype(np.float64)
-    heavy = max(float(np.linalg.norm(z, 2)) / np.sqrt(z.shape[1]), 1.0)
-    y = z + heavy * (own.T @ (own @ omega))
-    shift = 1e-7 * float(np.linalg.norm(y, 2))
-    y += shift * omega
-    core = omega.T @ y
-    value, vector = np.linalg.eigh((core + core.T) / 2)
-    good = value > value[-1] * 1e-10
-    u, s, _ = np.linalg.svd(y @ (vector[:, good] / np.sqrt(value[good])), full_matrices=False)
-    return u[:, : min(rank, int((s > s[0] * 1e-7).sum()) if len(s) else 0)].astype(np.float32)
+    shift = max(1e-7 * float(np.linalg.norm(z, 2)), 1e-9)
+    y = z + shift * omega
+    value, vector = np.linalg.eigh((omega.T @ y + y.T @ omega) / 2)
+    good = value > max(value[-1], 0) * 1e-10
+    half = y @ (vector[:, good] / np.sqrt(value[good]))  # A'A is about half half'
+    heavy = max(float(np.linalg.norm(half, 2)), 1.0) if half.size else 1.0
+    u, s, _ = np.linalg.svd(np.concatenate([half, heavy * own.T], axis=1), full_matrices=False)
+    return u[:, : min(rank, int((s > s[0] * 1e-6).sum()))].astype(np.float32)
 
 
 def longest_common(a: np.ndarray, b: np.ndarray) -> int:
@@ -280,7 +276,7 @@ FOUND = "row long, item long, cosine double, lcs double, answer double, start lo
 
 def search(table: DataFrame, vocabulary: Vocabulary, weight: np.ndarray, space: np.ndarray, items: list[Item], parts: list[tuple[int, np.ndarray]]) -> DataFrame:
     """FOUND: leaks of items in the texts, by cosine of the items' parts with windows, and then fit()."""
-    kind = vocabulary.kind
+    kind, used = vocabulary.kind, np.append(False, weight > 0)
     mapped = (space * weight[:, None]).astype(np.float32)
     target = np.stack([mapped[np.unique(ids).astype(np.int64) - 1].sum(0) for _, ids in parts])
     target /= np.maximum(np.linalg.norm(target, axis=1, keepdims=True), 1e-9)
@@ -292,24 +288,24 @@ def search(table: DataFrame, vocabulary: Vocabulary, weight: np.ndarray, space:
             for part, ids, first in _texts(batch, kind):
                 rows = part.column("row").to_pylist()
                 out = []
-                passage, term, begin = passages(ids, first, _HALF)
+                passage, term, begin = passages(ids, first, _HALF, used)
                 half = np.zeros((int(begin[-1]) + 1, mapped.shape[1]), np.float32)
-                passage, term, _ = _rows(passage, term, weight, False)
-                for a in range(0, len(term), 1 << 16):
-                    p, t = passage[a : a + (1 << 16)], term[a : a + (1 << 16)]
+                for a in range(0, len(term), 1 << 12):  # small enough for the processor's cache
+                    p, t = passage[a : a + (1 << 12)], term[a : a + (1 << 12)]
                     new = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
                     half[p[new]] += np.add.reduceat(mapped[t], new)
                 last = np.zeros(len(half), bool)
                 last[begin[1:][np.diff(begin) > 0] - 1] = True
                 doc = np.repeat(np.arange(len(rows)), np.diff(begin))
                 hits: dict[tuple[int, int], list[tuple[float, int]]] = {}
-                for a in range(0, int(begin[-1]), 4096):
-                    b = min(a + 4096, int(begin[-1]))
-                    y = half[a:b] + np.where(last[a:b, None], 0, half[a + 1 : b + 1])
-                    y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
+                for a in range(0, int(begin[-1]), 1024):
+                    b = min(a + 1024, int(begin[-1]))
+                    y = half[a:b].copy()
+                    y[~last[a:b]] += half[a + 1 : b + 1][~last[a:b]]
+                    length = np.sqrt(np.einsum("ij,ij->i", y, y))
                     cosine = y @ target
-                    for k, i in zip(*(x.tolist() for x in np.nonzero(cosine >= COSINE)), strict=True):
-                        hits.setdefault((int(doc[a + k]), int(owner[i])), []).append((float(cosine[k, i]), a + k))
+                    for k, i in zip(*(x.tolist() for x in np.nonzero(cosine > COSINE * np.maximum(length, 1e-9)[:, None])), strict=True):
+                        hits.setdefault((int(doc[a + k]), int(owner[i])), []).append((float(cosine[k, i] / length[k]), a + k))
                 for (d, i), windows in hits.items():
                     text = ids[first[d] : first[d + 1]]
                     best = None
@@ -343,7 +339,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
         df, n = frequencies(table, vocabulary)
         parts = pieces(items)
         weight = weights(df, n, items)
-        z = sketch(table, vocabulary, weight, RANK + OVERSAMPLE)
+        z = sketch(table, vocabulary, weight, SKETCH)
         for b in range(0, len(parts), BLOCK):
             block = parts[b : b + BLOCK]
             own = np.zeros((len(block), len(weight)))

@@ -13,7 +13,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[48:58] = _IS_WORD[97:123] = _IS_WORD[128:] = True
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,17 +27,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _geometric(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        inverse = np.uint64(pow(int(_B), -1, 1 << 64))
-        for k, base in enumerate((_B, inverse)):
-            step = np.full(size, base, np.uint64)
-            step[0] = 1
-            _powers[k] = np.cumprod(step, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def lower(data: np.ndarray) -> np.ndarray:
     """Small letters for ASCII and Latin-1 capitals in UTF-8."""
     out = _LOWER[data]
@@ -49,6 +38,18 @@ def lower(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def hash_runs(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of runs of bytes, eight bytes at a time."""
+    eights = np.lib.stride_tricks.as_strided(np.concatenate([data, np.zeros(8, np.uint8)]).view(np.uint8), (len(data) + 1, 8), (1, 1)).view("<u8")[:, 0]
+    code = mix((eights[start] & _MASK[np.minimum(length, 8)]) + length.astype(np.uint64) * _B)
+    more, at = np.flatnonzero(length > 8), 8
+    while len(more):
+        code[more] = mix(code[more] * _B + (eights[start[more] + at] & _MASK[np.minimum(length[more] - at, 8)]))
+        at += 8
+        more = more[length[more] > at]
+    return code
+
+
 @dataclass
 class Words:
     """start, end: byte places; doc: the text of each word; first: len(texts)+1 places into the words; hash: 64 bits."""
@@ -78,10 +79,7 @@ def words(data: np.ndarray, off: np.ndarray) -> Words:
         after[:-1] = is_word[1:]
         after &= ~cut[1:]
     end = np.flatnonzero(is_word & ~after) + 1
-    p, inverse = _geometric(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(low.astype(np.uint64) * p[:n], out=total[1:])
-    code = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+    code = hash_runs(low, start, end - start)
     first = np.searchsorted(start, off)
     doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
     return Words(start, end, doc, first, code, low)
