@@ -1,0 +1,136 @@
+import random
+from itertools import combinations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from binweave.llm import chosen_path as c
+
+
+def shingle_sets(rows, width=5):
+    out = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        out.append(frozenset(tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))) if w else frozenset())
+    return out
+
+
+def brute(rows, similarity=0.8):
+    """id -> (class, copy, copies, links) and the linked pairs of classes."""
+    sets = shingle_sets(rows)
+    classes = {}
+    for (key, _), s in zip(rows, sets, strict=True):
+        if s:
+            classes.setdefault(s, []).append(key)
+    name = {s: min((k for k in keys if k is not None), default=None) for s, keys in classes.items()}
+    near = {s: {s} for s in classes}
+    pairs = []
+    for a, b in combinations(classes, 2):
+        if len(a & b) / len(a | b) >= similarity:
+            pairs.append((a, b))
+            near[a].add(b)
+            near[b].add(a)
+    group = {}
+    for s in classes:
+        if s not in group:
+            todo, seen = [s], {s}
+            while todo:
+                for n in near[todo.pop()] - seen:
+                    seen.add(n)
+                    todo.append(n)
+            least = min((name[x] for x in seen if name[x] is not None), default=None)
+            group |= dict.fromkeys(seen, least)
+    want = [(k, k, k, 1, 0) if not s else (k, group[s], name[s], len(classes[s]), len(near[s]) - 1) for (k, _), s in zip(rows, sets, strict=True)]
+    return want, {tuple(sorted((name[a], name[b]))) for a, b in pairs}
+
+
+def corpus(prose, seed=1, families=12, singles=150):
+    rng = random.Random(seed)
+    texts = [prose(seed * 1000 + i, rng.choice([3, 5, 8, 40, 120, 300])) for i in range(singles)]
+    shared = prose(99, 60)
+    texts += [f"{prose(5000 + i, 40)} {shared} {prose(6000 + i, 30)}" for i in range(40)]
+    for f in range(families):
+        base = prose(9000 + f, rng.choice([60, 150, 400])).split()
+        for _ in range(rng.choice([2, 3, 25])):
+            w = list(base)
+            for _ in range(rng.randrange(0, max(2, len(w) // 30))):
+                w[rng.randrange(len(w))] = "changed" + str(rng.randrange(10**6))
+            texts.append(" ".join(w))
+    texts += [texts[0]] * 4 + [texts[-1]] * 3 + ["one", "one", "two words", "", None, "...", "long " * 30_000]
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def collect(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize(("limit", "block", "depth"), [(64, 1024, 3), (3, 4, 2), (2, 1024, 4)])
+def test_as_brute_force(spark, prose, limit, block, depth):
+    rows = corpus(prose)
+    want, _ = brute(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = c.join(df, limit=limit, block=block, depth=depth)
+    assert got.columns == ["doc_id", "class_id", "copy_id", "n_copies", "n_links"]
+    assert collect(got) == sorted(want, key=repr)
+
+
+def test_pairs(spark, prose):
+    rows = corpus(prose, 3, 6, 40)
+    _, want = brute(rows)
+    got = c.join(spark.createDataFrame(rows, "doc_id long, text string"), pairs=True, limit=5).collect()
+    assert sorted((r["a"], r["b"]) for r in got) == sorted(want)
+    sets = {k: s for (k, _), s in zip(rows, shingle_sets(rows), strict=True)}
+    for r in got:
+        a, b = sets[r["a"]], sets[r["b"]]
+        assert r["similarity"] == pytest.approx(len(a & b) / len(a | b), abs=1e-6)
+
+
+def test_null_and_repeated_ids(spark, prose):
+    rows = [(None, prose(1, 30)), (5, prose(1, 30)), (5, prose(1, 30)), (5, prose(2, 30)), (None, prose(3, 30)), (None, None), (7, "")]
+    got = c.join(spark.createDataFrame(rows, "doc_id long, text string").withColumn("sig", F.lit("own")))
+    assert collect(got) == sorted(brute(rows)[0], key=repr)
+    kept = c.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").withColumn("_key", F.lit(1)))
+    assert kept.columns == ["doc_id", "text", "_key"]
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept.collect()) == sorted([("None", prose(1, 30)), ("5", prose(2, 30)), ("None", prose(3, 30)), ("None", ""), ("7", "")])
+
+
+def test_deduplicate_keeps_one_of_each_class(spark, prose):
+    rows = corpus(prose, 7, 6, 40)
+    want = {w[0] for w in brute(rows)[0] if w[0] == w[1]}
+    kept = c.deduplicate(spark.createDataFrame([*rows, *rows[:5]], "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
+
+
+def test_empty(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert c.join(none).count() == 0
+    assert c.deduplicate(none).count() == 0
+
+
+def test_overlaps_and_runs():
+    rng = np.random.default_rng(0)
+    tokens = [np.unique(rng.integers(0, 500, n).astype(np.uint32)) for n in (3, 50, 80, 200, 1)]
+    got = c._overlaps(tokens, width=16)
+    for i, a in enumerate(tokens):
+        for j, b in enumerate(tokens):
+            if i != j:
+                assert got[i, j] == len(np.intersect1d(a, b))
+    assert c.runs(0.8, 0.999, 3) == 12
+    assert c.runs(0.8, 0.9, 1) < c.runs(0.8, 0.999, 1) < c.runs(0.8, 0.999, 4)
+
+
+def test_recall_of_one_run(prose):
+    """Pairs just at the similarity share a path of one token about as often as the branching process says."""
+    rng = np.random.default_rng(2)
+    hits, trials = 0, 400
+    for t in range(trials):
+        pool = rng.choice(2**32, 220, replace=False).astype(np.uint32)
+        a, b = pool[:200], np.concatenate([pool[:178], pool[198:220]])
+        keys = []
+        for x in (a, b):
+            n = len(x)
+            keys.append(set(c._children(np.full(n, t, np.uint64), x, np.full(n, n), 0.8)[1].tolist()))
+        hits += bool(keys[0] & keys[1])
+    assert 0.58 < hits / trials < 0.78
