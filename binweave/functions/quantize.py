@@ -42,10 +42,13 @@ class Scale:
         return self.top / span if span > 0 else 0.0
 
 
+#: The largest double below a half: added before floor(), it rounds halves up and nothing else, from 0 to 2^52.
+_BELOW_HALF = 0.49999999999999994
+
+
 def half_up(x: Column) -> Column:
-    """Nearest integer of a number from 0 up, halves up; the fraction of a double is exact, so no carry can go wrong."""
-    whole = F.floor(x)
-    return (whole + F.when(x - whole >= 0.5, 1).otherwise(0)).cast("int")
+    """Nearest integer of a number from 0 up, halves up."""
+    return F.floor(x + F.lit(_BELOW_HALF)).cast("int")
 
 
 def finite(value: Column) -> Column:
@@ -53,21 +56,34 @@ def finite(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
 
 
-def quantize(value: Column, scale: Scale) -> Column:
-    """Bin of a value: clamped to the scale; 0 for null, NaN, infinite values and scales without width."""
+def quantize(value: Column, scale: Scale, clean: bool = False) -> Column:
+    """Bin of a value: clamped to the scale; 0 for null, NaN, infinite values and scales without width. clean: there are no such values,
+    so none is looked for."""
     if not scale.factor:
         return F.lit(0)
     v = value.cast("double")
     inside = F.least(F.greatest(v, F.lit(float(scale.low))), F.lit(float(scale.high)))
-    return F.when(finite(v), half_up((inside - F.lit(float(scale.low))) * F.lit(scale.factor))).otherwise(F.lit(0))
+    bin_ = half_up((inside - F.lit(float(scale.low))) * F.lit(scale.factor))
+    return bin_ if clean else F.when(finite(v), bin_).otherwise(F.lit(0))
 
 
 def bin_of(value: float, scale: Scale) -> int:
     """quantize() for one Python number."""
     if value is None or not math.isfinite(value) or not scale.factor:
         return 0
-    x = (min(max(value, scale.low), scale.high) - scale.low) * scale.factor
-    return math.floor(x) + (x - math.floor(x) >= 0.5)
+    return math.floor((min(max(value, scale.low), scale.high) - scale.low) * scale.factor + _BELOW_HALF)
+
+
+def least_value(bin_: int, scale: Scale) -> float:
+    """The least double of the scale whose bin is at least bin_ (from 1 to the top bin): bins never fall as values rise, so it is found
+    by halving."""
+    low, high = float(scale.low), float(scale.high)
+    while (middle := low + (high - low) / 2) not in (low, high):
+        if bin_of(middle, scale) >= bin_:
+            high = middle
+        else:
+            low = middle
+    return high
 
 
 def bin_value(bin_: Column, scale: Scale) -> Column:
@@ -82,8 +98,7 @@ def value_of(bin_: int, scale: Scale) -> float:
 
 def fraction_bin(fraction: float, bits: int) -> int:
     """Bin at a fraction (clamped to 0..1) of all bins."""
-    x = min(max(fraction, 0.0), 1.0) * ((1 << bits) - 1)
-    return math.floor(x) + (x - math.floor(x) >= 0.5)
+    return math.floor(min(max(fraction, 0.0), 1.0) * ((1 << bits) - 1) + _BELOW_HALF)
 
 
 def number(value: object) -> float:

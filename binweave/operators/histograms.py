@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from binweave.functions.quantize import bin_value
+from binweave.functions.quantize import MAX_BITS, bin_value
 from binweave.plans.encode import Dimension
 
 
@@ -23,10 +23,10 @@ def all_histograms(encoded: DataFrame, dims: Sequence[Dimension], weight: Column
     if not dims:
         return encoded.sparkSession.createDataFrame([], "dim string, bin int, count bigint")
     total = F.count(F.lit(1)) if weight is None else F.sum("w").cast("long")
-    bins = F.posexplode(F.array(*[F.col(d.column) for d in dims])).alias("k", "bin")
-    rows = encoded.select(bins) if weight is None else encoded.select(weight.alias("w"), bins)
-    names = F.element_at(F.array(*[F.lit(d.name) for d in dims]), F.col("k") + 1)
-    return rows.groupBy("k", "bin").agg(total.alias("count")).select(names.alias("dim"), "bin", "count")
+    cells = F.explode(F.array(*[F.col(d.column) + F.lit(k << MAX_BITS) for k, d in enumerate(dims)])).alias("cell")  # one key, not two
+    rows = encoded.select(cells) if weight is None else encoded.select(weight.alias("w"), cells)
+    names = F.element_at(F.array(*[F.lit(d.name) for d in dims]), F.shiftright("cell", MAX_BITS) + 1)
+    return rows.groupBy("cell").agg(total.alias("count")).select(names.alias("dim"), F.col("cell").bitwiseAND(F.lit((1 << MAX_BITS) - 1)).alias("bin"), "count")
 
 
 def dense(hist: DataFrame, dim: Dimension) -> DataFrame:

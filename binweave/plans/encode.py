@@ -7,15 +7,18 @@ of the fit, null texts are ''; with null_as="zero" null numbers count as 0 and n
 from __future__ import annotations
 
 import math
+import sys
 import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from binweave.functions.quantize import Scale, bits_for, finite, quantize
+from binweave.functions.quantize import Scale, bits_for, finite, least_value, quantize
 from binweave.sources.tables import Table
 
 #: Distinct labels from which a dimension is reported as too fine to chart.
@@ -151,7 +154,7 @@ def encode(table: Table, dims: Sequence[Dimension], values: Sequence[str] = (),
     df, made = table.df, []
     for d in dims:
         if d.type == "number":
-            made.append(quantize(_numeric(table, d.name, null_as), d.scale).alias(d.column))
+            made.append(quantize(_numeric(table, d.name, null_as), d.scale, d.clean).alias(d.column))
         else:
             df, code = _codes(df, table, d, null_as)
             made.append(code.alias(d.column))
@@ -166,26 +169,34 @@ def encode(table: Table, dims: Sequence[Dimension], values: Sequence[str] = (),
     return df.select(*[F.col(f"`{c}`") for c in keep], *made)
 
 
-def value_bounds(df: DataFrame, dim: Dimension, low: float, high: float) -> Column | None:
-    """A condition on the raw column that every row of bins [low, high] meets and that reaches the file scan; None if there is none.
+def within_values(df: DataFrame, dim: Dimension, low: float, high: float) -> Column | None:
+    """The condition on the raw column that exactly the rows of bins [low, high] meet, as comparisons with constants that reach the file
+    scan; None where the column isn't a plain number.
 
-    The range is a little wide, and the exact condition on bins stands beside it. Bin 0 also holds null, NaN and infinite values, so a
-    range that includes it is bounded only for a clean column."""
-    scale = dim.scale
-    kind = df.schema[dim.name].dataType
+    Bin 0 also holds null, NaN and infinite values; in Spark NaN is above all numbers, so an upper bound shuts NaN and infinity out."""
+    scale, kind = dim.scale, df.schema[dim.name].dataType
     whole = isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
-    if scale is None or not scale.factor or not (whole or isinstance(kind, (T.FloatType, T.DoubleType))) or low > high:
+    if scale is None or not scale.factor or not (whole or isinstance(kind, T.DoubleType)):
         return None
-    if low <= 0 and not dim.clean:
-        return None
-    slack = 1e-6 * (scale.high - scale.low)
-    column, out = F.col(f"`{dim.name}`"), []
+    low, high = math.ceil(max(low, 0)), math.floor(min(high, scale.top))
+    if low > high:
+        return F.lit(False)
+    column = F.col(f"`{dim.name}`")
+    conditions = []
     if low >= 1:
-        v = scale.low + (low - 0.5) / scale.factor - slack
-        out.append(column >= F.lit(math.floor(v) if whole else v))
+        at = least_value(low, scale)
+        conditions.append(column >= F.lit(math.ceil(at) if whole else at))
     if high < scale.top:
-        v = scale.low + (high + 0.5) / scale.factor + slack
-        out.append(column <= F.lit(math.ceil(v) if whole else v))
-    if not out:
-        return None
-    return out[0] if len(out) == 1 else out[0] & out[1]
+        at = least_value(high + 1, scale)
+        conditions.append(column < F.lit(math.ceil(at) if whole else at))
+    elif not whole and not dim.clean:
+        conditions.append(column <= F.lit(sys.float_info.max))
+        if low < 1:
+            conditions.append(column >= F.lit(-sys.float_info.max))
+    elif low >= 1 and not dim.clean:
+        conditions.append(column.isNotNull())
+    inside = reduce(and_, conditions, F.lit(True))
+    if low >= 1 or dim.clean:
+        return inside
+    value = column.cast("double")
+    return F.coalesce(inside, F.lit(False)) | ~finite(value)

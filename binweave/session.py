@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from binweave.functions.quantize import bin_of
 from binweave.operators import deltas, filters, histograms, index
-from binweave.plans.encode import Dimension, Options, encode, fit, value_bounds
+from binweave.plans.encode import Dimension, Options, encode, fit, within_values
 from binweave.plans.planner import Planner, Work
 from binweave.sources.tables import Table, from_frame
 
@@ -104,15 +104,17 @@ class Session:
         return self._encoded
 
     def rows(self, ranges: Mapping[str, filters.Range] | None = None) -> DataFrame:
-        """Encoded rows that meet the filters (or the given ones). Uncached, the filters' value ranges reach the scan of the source."""
-        ranges = self.filters if ranges is None else ranges
-        encoded = self._encoded
-        if not self.cached:
-            bounds = [b for n, r in ranges.items() if (b := value_bounds(self.table.df, self.dims[n], *r)) is not None]
-            if bounds:
-                narrowed = Table(self.table.df.where(filters.all_of(bounds)), self.table.types, self.table.order_by, self.table.labels)
-                encoded = encode(narrowed, list(self.dims.values()), self.values, self.keep, self.options.null_as)
-        return encoded.where(filters.active(self.dims, ranges))
+        """Encoded rows that meet the filters (or the given ones). Uncached, filters of plain numbers are comparisons of the source's
+        values, made by its scan, and only the rows left are encoded."""
+        ranges = dict(self.filters if ranges is None else ranges)
+        if self.cached or self.options.null_as == "zero":
+            return self._encoded.where(filters.active(self.dims, ranges))
+        at_source = {n: c for n, r in ranges.items() if (c := within_values(self.table.df, self.dims[n], *r)) is not None}
+        if not at_source:
+            return self._encoded.where(filters.active(self.dims, ranges))
+        left = Table(self.table.df.where(filters.all_of(at_source.values())), self.table.types, self.table.order_by, self.table.labels)
+        encoded = encode(left, list(self.dims.values()), self.values, self.keep, self.options.null_as)
+        return encoded.where(filters.active(self.dims, {n: r for n, r in ranges.items() if n not in at_source}))
 
     def refresh(self) -> DataFrame:
         """(dim, bin, count) of all dimensions over the active rows, by one job."""

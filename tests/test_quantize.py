@@ -5,7 +5,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from binweave.functions.quantize import Scale, bin_of, bin_value, bits_for, fraction_bin, half_up, number, quantize, text, value_of
+from binweave.functions.quantize import Scale, bin_of, bin_value, bits_for, fraction_bin, half_up, least_value, number, quantize, text, value_of
 
 
 @pytest.mark.parametrize(("bins", "bits"), [(None, 12), (0, 12), (1, 1), (2, 1), (3, 2), (300, 9), (4096, 12), (10**6, 16)])
@@ -60,3 +60,12 @@ def test_fraction_and_coercion():
     assert [number(x) for x in (None, "", " 12 ", True, "0x10", "1e3", "-Infinity")] == [0, 0, 12, 1, 16, 1000, -math.inf]
     assert all(math.isnan(number(x)) for x in ("abc", "nan", "inf", "1_0", [], {}))
     assert [text(x) for x in (None, True, 3.0, 2.5, "x")] == ["null", "true", "3", "2.5", "x"]
+
+
+@given(st.floats(-1e6, 1e6), st.floats(1e-3, 1e6), st.integers(1, 16), st.floats(0, 1))
+def test_least_value(low, width, bits, at):
+    scale = Scale(low, low + width, bits)
+    b = 1 + int(at * (scale.top - 1))
+    v = least_value(b, scale)
+    assert bin_of(v, scale) >= b
+    assert v <= scale.low or bin_of(math.nextafter(v, -math.inf), scale) < b

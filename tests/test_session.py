@@ -227,11 +227,19 @@ def test_pushdown_reaches_the_scan(spark, tmp_path):
     assert s.rows().count() == 2000
 
 
-def test_bin_zero_keeps_strange_values(spark):
-    df = spark.createDataFrame([(v,) for v in (None, math.nan, math.inf, 1.0, 2.0, 9.0)], "v double")
-    s = Session(from_frame(df), bins=16)
-    s.dimension("v").filter((0, 3))
-    assert s.count() == 5
+@pytest.mark.parametrize("kind", ["double", "long"])
+@pytest.mark.parametrize("bounds", [(0, 3), (1, 15), (0, 15), (-4, 99), (3, 15), (5, 5), (9, 2), (0.5, 7.5), (15, 15), (0, 0)])
+def test_filters_at_the_source_are_exact(spark, kind, bounds):
+    strange = [None, math.nan, math.inf, -math.inf] if kind == "double" else [None, None]
+    data = [*strange, *[float(v) if kind == "double" else v for v in range(-7, 60)]]
+    for clean in (False, True):
+        df = spark.createDataFrame([(v,) for v in (data[len(strange) :] if clean else data)], f"v {kind}")
+        s = Session(from_frame(df), bins=16)
+        assert s.dims["v"].clean == clean
+        s.dimension("v").filter(bounds)
+        scale = s.dims["v"].scale
+        want = sum(bounds[0] <= bin_of(None if r["v"] is None else float(r["v"]), scale) <= bounds[1] for r in df.collect())
+        assert s.count() == want == s.encoded.where(filters.active(s.dims, s.filters)).count()
 
 
 def test_sandbox_agrees(spark):
