@@ -103,10 +103,12 @@ def _split(big: DataFrame, table: DataFrame, rep: DataFrame, similarity: float)
     return rows.mapInArrow(run, "key long, sig long")
 
 
-def _overlaps(tokens: list[np.ndarray], width: int = 8192) -> np.ndarray:
-    """Sizes of the intersections of all pairs of sets; tokens that only one of them has are left out first."""
+def _overlaps(tokens: list[np.ndarray], width: int = 1024) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, width tokens at a time; tokens that only one of them has are left out first."""
     n = len(tokens)
     everything = np.concatenate(tokens)
+    if not len(everything):
+        return np.zeros((n, n), np.float32)
     owner = np.repeat(np.arange(n), [len(t) for t in tokens])
     order = np.argsort(everything, kind="stable")
     everything, owner = everything[order], owner[order]
@@ -129,26 +131,26 @@ def _overlaps(tokens: list[np.ndarray], width: int = 8192) -> np.ndarray:
 def compare(key: int, sig: np.ndarray, tokens: list[np.ndarray], block: np.ndarray, across: bool, mine: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Links of a bucket (across: between two blocks only), and those for which it is the least of the pair's buckets."""
     size = np.array([len(t) for t in tokens], np.float64)
-    linked = _overlaps(tokens) * (1 + similarity) >= similarity * (size[:, None] + size[None, :]) - 1e-6
+    linked = _overlaps(tokens)
+    linked = np.concatenate([linked[r] * (1 + similarity) >= similarity * (size[r, None] + size[None, :]) - 1e-6 for r in _strips(len(sig))])
     linked &= sig[:, None] != sig[None, :]
     if across:
         linked &= block[:, None] != block[None, :]
     if not linked.any():
         return linked, linked
-    earlier = [m[m < key] for m in mine]
-    values = np.unique(np.concatenate(earlier))
-    has = np.zeros((len(sig), len(values) + 1), np.float32)
-    for i, m in enumerate(earlier):
-        has[i, np.searchsorted(values, m)] = 1
-    has[:, -1] = 0
-    return linked, linked & ~(has @ has.T > 0)
+    return linked, linked & (_overlaps([m[m < key] for m in mine]) == 0)
+
+
+def _strips(n: int, rows: int = 256) -> list[slice]:
+    return [slice(a, a + rows) for a in range(0, n, rows)]
 
 
 def _components(linked: np.ndarray, sig: np.ndarray) -> np.ndarray:
     """The least signature that each member reaches by links."""
     label = sig.copy()
     while True:
-        new = np.minimum(label, np.where(linked, label[None, :], np.iinfo(np.int64).max).min(1))
+        new = np.concatenate([np.where(linked[r], label[None, :], np.iinfo(np.int64).max).min(1) for r in _strips(len(sig))])
+        new = np.minimum(label, new)
         if (new == label).all():
             return label
         label = new
