@@ -132,7 +132,7 @@ def compare(key: int, sig: np.ndarray, tokens: list[np.ndarray], block: np.ndarr
     """Links of a bucket (across: between two blocks only), and those for which it is the least of the pair's buckets."""
     size = np.array([len(t) for t in tokens], np.float64)
     linked = _overlaps(tokens)
-    linked = np.concatenate([linked[r] * (1 + similarity) >= similarity * (size[r, None] + size[None, :]) - 1e-6 for r in _strips(len(sig))])
+    linked = np.concatenate([linked[r].astype(np.float64) * (1 + similarity) >= similarity * (size[r, None] + size[None, :]) - 1e-6 for r in _strips(len(sig))])
     linked &= sig[:, None] != sig[None, :]
     if across:
         linked &= block[:, None] != block[None, :]
