@@ -4,12 +4,14 @@ The prompt is the longest common prefix of whole turns (equal role and text), re
 A completion's mask lists the character ranges [start, stop) to train on: the text and end mark of assistant turns, never headers or
 other roles' turns.
 
+Work is by rows of turns and linear in them: one shuffle by key, sorts that can spill, and only the rendered texts gathered at the end.
 Null roles and texts count as empty; turns come in the order of their number (nulls first), then role and text; rows repeated exactly
-count once. Equal sides have empty completions, sides without a common turn an empty prompt; a null side has no turns. Nothing is cut."""
+count once. Equal sides have empty completions, sides without a common turn an empty prompt; a key that only one side has is a pair with an
+empty side. Null keys are one conversation. Nothing is cut."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: How a turn is rendered: before the role, between role and text, and behind the text.
@@ -17,66 +19,57 @@ BEFORE, BETWEEN, AFTER = "<|", "|>\n", "<|end|>\n"
 TRAINED = "assistant"
 
 
-def conversations(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", name: str = "turns") -> DataFrame:
-    """(key, name): the turns of each conversation as an array of (role, text)."""
-    one = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    both = turns.groupBy(F.col(key)).agg(F.sort_array(F.collect_set(one)).alias(name))
-    return both.select(key, F.transform(name, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias(name))
-
-
-def stale_answer(turns: Column) -> Column:
-    """A rejected side made from a conversation: its last assistant turn gives the assistant's answer before that again ('' if none)."""
-    spoken = F.filter(F.transform(turns, lambda t, i: F.when(t["role"] == TRAINED, i)), lambda i: i.isNotNull())
-    last = F.array_max(spoken)
-    before = F.filter(turns, lambda t, i: (t["role"] == TRAINED) & (i < last))
-    again = F.coalesce(F.try_element_at(before, F.lit(-1))["text"], F.lit(""))
-    return F.transform(turns, lambda t, i: F.struct(t["role"].alias("role"), F.when(i == last, again).otherwise(t["text"]).alias("text")))
-
-
-def common_turns(a: Column, b: Column) -> Column:
-    """How many turns two conversations share from the first on."""
-    n = F.least(F.size(a), F.size(b))
-    differ = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & (F.try_element_at(a, i) != F.try_element_at(b, i)))
-    return F.coalesce(F.array_min(differ) - 1, n)
-
-
-def _rendered(t: Column) -> Column:
-    return F.concat(F.lit(BEFORE), t["role"], F.lit(BETWEEN), t["text"], F.lit(AFTER))
-
-
-def render(turns: Column) -> Column:
-    """The text of turns."""
-    return F.array_join(F.transform(turns, _rendered), "")
-
-
-def mask(turns: Column) -> Column:
-    """The ranges of render(turns) to train on, as an array of (start, stop)."""
-    span = "struct<start:bigint,stop:bigint>"
-    head = lambda t: F.length(t["role"]) + len(BEFORE) + len(BETWEEN)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{span}>").alias("spans"))
-
-    def add(acc: Column, t: Column) -> Column:
-        begin, stop = (acc["at"] + head(t)).cast("long"), (acc["at"] + F.length(_rendered(t))).cast("long")
-        spans = F.when(t["role"] == TRAINED, F.concat(acc["spans"], F.array(F.struct(begin.alias("start"), stop.alias("stop")).cast(span)))).otherwise(acc["spans"])
-        return F.struct(stop.alias("at"), spans.alias("spans"))
-
-    return F.aggregate(turns, start, add, lambda acc: acc["spans"])
-
-
-def format_pairs(df: DataFrame, chosen: str, rejected: str) -> DataFrame:
-    """df's other columns with n_common, prompt, chosen, rejected (texts), chosen_mask and rejected_mask; an input column of such a
-    name is replaced. The sides are array columns of (role, text)."""
-    made = ("n_common", "prompt", "chosen", "rejected", "chosen_mask", "rejected_mask")
-    others = [F.col(f"`{c}`") for c in df.columns if c not in (chosen, rejected) and c.lower() not in made]
-    none = F.array().cast("array<struct<role:string,text:string>>")
-    a, b = F.col("pair.a"), F.col("pair.b")
-    whole = F.struct(*[F.coalesce(F.transform(F.col(f"`{c}`"), lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text"))), none).alias(k) for c, k in ((chosen, "a"), (rejected, "b"))])
-    step = df.select(F.struct(*others, F.lit(0).alias("none")).alias("row"), whole.alias("pair")).select("row", "pair", common_turns(a, b).alias("n"))
-    rest = lambda side: F.slice(side, F.col("n") + 1, F.greatest(F.size(side) - F.col("n"), F.lit(0)))
-    return step.select(
-        *[F.col("row")[c].alias(c) for c in df.columns if c not in (chosen, rejected) and c.lower() not in made],
-        F.col("n").cast("long").alias("n_common"), render(F.slice(a, 1, F.col("n"))).alias("prompt"), render(rest(a)).alias("chosen"), render(rest(b)).alias("rejected"), mask(rest(a)).alias("chosen_mask"), mask(rest(b)).alias("rejected_mask"),
-    )
+def numbered(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """(key, i, role, text): distinct turns, numbered from 1 in each conversation."""
+    rows = turns.select(F.col(f"`{key}`").alias("key"), F.col(f"`{turn}`").alias("turn"), F.coalesce(F.col(f"`{role}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    rows = rows.repartition("key").distinct()
+    order = Window.partitionBy("key").orderBy("turn", "role", "text")
+    return rows.select("key", F.row_number().over(order).alias("i"), "role", "text")
+
+
+def stale_answer(chosen: DataFrame) -> DataFrame:
+    """A rejected side for each conversation of numbered(): its last assistant turn gives the assistant's answer before that again ('' if
+    there is none)."""
+    spoken = F.col("role") == TRAINED
+    whole = Window.partitionBy("key")
+    before = whole.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    rows = chosen.select("*", F.max(F.when(spoken, F.col("i"))).over(whole).alias("at"), F.last(F.when(spoken, F.col("text")), ignorenulls=True).over(before).alias("said"))
+    return rows.select("key", "i", "role", F.when(F.col("i") == F.col("at"), F.coalesce("said", F.lit(""))).otherwise(F.col("text")).alias("text"))
+
+
+def rendered(role: Column, text: Column) -> Column:
+    """A turn as text."""
+    return F.concat(F.lit(BEFORE), role, F.lit(BETWEEN), text, F.lit(AFTER))
+
+
+def format_pairs(chosen: DataFrame, rejected: DataFrame, key: str = "key") -> DataFrame:
+    """(key, n_common, prompt, chosen, rejected, chosen_mask, rejected_mask) of two sides as numbered() gives them."""
+    side = lambda df, name: df.select("key", "i", F.struct("role", "text").alias("t"), F.lit(name).alias("side"))
+    both = side(chosen, "a").unionByName(side(rejected, "b")).repartition("key")
+    pairs = both.groupBy("key", "i").agg(F.max(F.when(F.col("side") == "a", F.col("t"))).alias("a"), F.max(F.when(F.col("side") == "b", F.col("t"))).alias("b"))
+    whole = Window.partitionBy("key")
+    first = F.min(F.when(~F.col("a").eqNullSafe(F.col("b")), F.col("i"))).over(whole)
+    rows = pairs.select("*", (F.coalesce(first - 1, F.count(F.lit(1)).over(whole))).cast("long").alias("n_common"))
+    upto = whole.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for s in ("a", "b"):
+        text = F.when(F.col(s).isNotNull(), rendered(F.col(s)["role"], F.col(s)["text"]))
+        rows = rows.withColumn(f"r{s}", text)
+        stop = F.sum(F.when(F.col("i") > F.col("n_common"), F.length(f"r{s}")).otherwise(0)).over(upto)
+        rows = rows.withColumn(f"stop{s}", stop.cast("long"))
+    later = F.col("i") > F.col("n_common")
+
+    def joined(s: str, when: Column) -> Column:
+        kept = F.collect_list(F.when(when & F.col(f"r{s}").isNotNull(), F.struct("i", F.col(f"r{s}").alias("r"))))
+        return F.array_join(F.sort_array(kept)["r"], "")
+
+    def mask(s: str) -> Column:
+        start = F.col(f"stop{s}") - F.length(f"r{s}") + F.length(F.col(s)["role"]) + len(BEFORE) + len(BETWEEN)
+        span = F.struct(start.cast("long").alias("start"), F.col(f"stop{s}").alias("stop"))
+        return F.sort_array(F.collect_list(F.when(later & (F.col(s)["role"] == TRAINED), span)))
+
+    return rows.groupBy("key").agg(
+        F.max("n_common").alias("n_common"), joined("a", ~later).alias("prompt"), joined("a", later).alias("chosen"), joined("b", later).alias("rejected"), mask("a").alias("chosen_mask"), mask("b").alias("rejected_mask")
+    ).withColumnRenamed("key", key)
 
 
 #: DuckDB SQL for format_pairs(conversations with their stale_answer), masks written as "start-stop" joined by commas.

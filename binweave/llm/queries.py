@@ -41,8 +41,8 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations holds no pairs, so a conversation is the chosen side, and the rejected side gives a stale last answer."""
-    chosen = preference.conversations(_table(spark, sf_dir, "conversations"), name="chosen")
-    out = preference.format_pairs(chosen.withColumn("rejected", preference.stale_answer(F.col("chosen"))), "chosen", "rejected")
+    chosen = preference.numbered(_table(spark, sf_dir, "conversations"))
+    out = preference.format_pairs(chosen, preference.stale_answer(chosen), "conv_id")
     digest = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["stop"].cast("string"))), ",")
     return out.withColumns({c: digest(F.col(c)) for c in ("chosen_mask", "rejected_mask")})
 
