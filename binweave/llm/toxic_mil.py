@@ -66,7 +66,7 @@ class NoisyOr:
         bucket, first, doc, start, end = sentences(data, off)
         p = self.sentence(bucket, first) if len(doc) else np.zeros(0)
         none = segment_sum(np.log1p(-np.minimum(p, 1 - 1e-12)), np.searchsorted(doc, np.arange(len(off))))
-        return -np.expm1(none), p, doc, start, end
+        return np.abs(np.expm1(none)), p, doc, start, end
 
 
 def train(docs: list[bytes], y: np.ndarray, epochs: int = 20, rate: float = 0.05, ratio: float = 18.0, bias: float = -9.0, scale: float = 1.0, seed: int = 5) -> NoisyOr:
