@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from binweave.llm._common import attach, class_sample, held_out, utf8
+from binweave.llm._common import SLICE_BYTES, attach, class_sample, held_out, utf8
 from binweave.llm.words import lower, segment_sum
 
 BITS, SIZES = 15, (3, 4)
@@ -92,12 +92,15 @@ def train(docs: list[bytes], langs: list[str], dim: int = 16, epochs: int = 8, r
         return LanguageModel([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0))
     y = np.array([names.index(x) for x in langs])
     rng = np.random.default_rng(seed)
-    off = np.concatenate([[0], np.cumsum([len(x) for x in docs])]).astype(np.int64)
-    out, first, has = grams(np.frombuffer(b"".join(docs), np.uint8), off)
-    rows = []
-    for i in range(len(docs)):
-        b, c = np.unique(np.concatenate([o[f[i] : f[i + 1]] for o, f in zip(out, first, strict=True)]), return_counts=True)
-        rows.append((b, (c / max(c.sum(), 1)).astype(np.float32)))
+    rows: list[tuple[np.ndarray, np.ndarray]] = []
+    has = np.zeros(len(docs), bool)
+    while (k := len(rows)) < len(docs):  # a slice at a time, for the driver's memory
+        size = np.cumsum([len(d) for d in docs[k : k + 500]])
+        part = docs[k : k + max(1, int(np.searchsorted(size, SLICE_BYTES, side="right")))]
+        out, first, has[k : k + len(part)] = grams(np.frombuffer(b"".join(part), np.uint8), np.concatenate([[0], size[: len(part)]]).astype(np.int64))
+        for i in range(len(part)):
+            b, c = np.unique(np.concatenate([o[f[i] : f[i + 1]] for o, f in zip(out, first, strict=True)]), return_counts=True)
+            rows.append((b, (c / max(c.sum(), 1)).astype(np.float32)))
     kept = rng.random(len(docs)) < 0.2 if len(docs) >= 50 else np.zeros(len(docs), bool)
     emb = rng.normal(0, 1 / dim, (1 << BITS, dim)).astype(np.float32)
     w, bias = np.zeros((dim, len(names)), np.float32), np.zeros(len(names), np.float32)
