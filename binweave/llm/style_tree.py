@@ -37,10 +37,11 @@ DROPPED = frozenset("nav header footer aside form script style noscript template
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs topbar footer header masthead cookie cookies consent notice notices gdpr popup modal overlay"
-    " newsletter subscribe subscription signup login social share sharing related recommended recommendations widget widgets comments comment commentlist disqus replies reply respond toolbar pagination pager paging copyright disclaimer skip hidden".split()
+    " newsletter subscribe subscription signup login social share sharing related recommended recommendations widget widgets comments comment commentlist disqus replies reply respond toolbar pagination pager paging copyright disclaimer skip hidden alert announcement toast adsbygoogle adslot adbox adbanner tooltip".split()
 )
-#: Of NAMES, those that also hold for an article or main element.
-NO_ARTICLE = frozenset("ad ads advert adverts advertisement sponsor sponsored promo comment comments reply replies related recommended widget".split())
+#: Of NAMES, those that also hold for article, main, headings and inline elements; and those of a header, whose headings an article keeps.
+STRONG = frozenset("ad ads advert adverts advertisement adsbygoogle adslot adbox adbanner sponsor sponsored promo comment comments reply replies related recommended widget".split())
+TITLES = frozenset("header masthead banner".split())
 CONTENT = frozenset("article articlebody content maincontent post postbody entry entrycontent story storybody".split())
 FLOW = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table tbody thead tr td th figure figcaption article main body html".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
@@ -55,15 +56,19 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 @lru_cache(maxsize=20_000)
-def _label(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
-    """Name of a node, whether it names boilerplate, whether it names content, and whether it is a plain flow element."""
+def _label(tag: str, attributes: str) -> tuple[str, str, bool, bool]:
+    """Name of a node, whether it is boilerplate ('', 'header' or 'drop'), whether it names content, and whether it is a plain flow
+    element."""
     found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)} if attributes else {}
     classes = (found.get("class", "") + " " + found.get("id", "")).split()
     parts = {w.lower() for c in classes for w in _WORDS.findall(c)}
-    drop = tag in DROPPED or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true"
-    content = found.get("role", "").lower() == "main" or found.get("itemprop", "").lower() == "articlebody" or any(re.sub(r"[^a-z]", "", c.lower()) in CONTENT for c in classes)
-    if parts & (NO_ARTICLE if tag in ("article", "main") else NAMES) and tag not in ("body", "html") and not content:
-        drop = True
+    role = found.get("role", "").lower()
+    content = role == "main" or found.get("itemprop", "").lower() == "articlebody" or any(re.sub(r"[^a-z]", "", c.lower()) in CONTENT for c in classes)
+    names = parts & (STRONG if tag in HEADINGS or tag in ("article", "main") or tag not in BLOCK else NAMES) if not content and tag not in ("body", "html") else frozenset()
+    if tag in DROPPED - {"header"} or role in ROLES - {"banner"} or "hidden" in found or found.get("aria-hidden") == "true" or names - TITLES:
+        drop = "drop"
+    else:
+        drop = "header" if tag == "header" or role == "banner" or names else ""
     return f"{tag}.{'.'.join(re.sub(r'[0-9]+', '#', c) for c in classes)}", drop, content, tag in FLOW and not classes
 
 
@@ -118,9 +123,7 @@ class Page:
         up = self._open[-1] if self._open else ("", True, 0, 0, False, True)
         label, drop, content, plain = _label(tag, attributes)
         path, area = up[2], up[3]
-        if drop and tag == "header" and area:
-            drop = None  # of an article's own header the headings stay
-        dropped = True if up[4] is True or drop else None if drop is None or up[4] is None else False
+        dropped = True if up[4] is True or drop == "drop" or drop and not area else None if drop or up[4] is None else False
         if dropped is None and tag in HEADINGS:
             dropped = False
         if block:
@@ -144,7 +147,7 @@ class Page:
             self._text.append(" ")
 
     def _say(self, raw: str) -> None:
-        if not raw or any(x[0] in DROPPED and not x[1] for x in self._open[-2:]):
+        if not raw or self._open and self._open[-1][4] is True:
             return
         text = html.unescape(raw) if "&" in raw else raw
         self._text.append(text)

@@ -21,6 +21,8 @@ def main(source):
         ("<p>1 < 2 &lt; 3 <script>if(a<b)</script>t</p><table><tr><td>a<td>b</table><textarea>zz</textarea>&am", ["1 < 2 < 3 t", "a", "b", "&am"]),
         ("", []), ("<a <b <p", []), ("plain", ["plain"]), ("<!-- x --><p title='a>b'>y<!-- <p>no", ["y"]), ("<p>a</p></p></div>b<script>never closed", ["a", "b"]),
         ('<article>x</article><article class="comment">y</article><div role="navigation">z</div><p hidden>h</p>', ["x"]),
+        ('<article><div class="article-header"><h1 class="header">T</h1><p>by</p></div><p>a <span class="advert">buy</span>b <button>no</button><ins class="adsbygoogle">z</ins>c</p><p class="notice">n</p></article>', ["T", "a b c"]),
+        ('<div class="page-header"><h1>Site</h1></div><div class="alert">cookies</div><div id="story"><h2>T</h2>x</div>', ["T", "x"]),
     ],
 )
 def test_pages(source, blocks):
