@@ -69,8 +69,9 @@ class NoisyOr:
         return np.abs(np.expm1(none)), p, doc, start, end
 
 
-def train(docs: list[bytes], y: np.ndarray, epochs: int = 20, rate: float = 0.05, ratio: float = 18.0, bias: float = -9.0, scale: float = 1.0, seed: int = 5) -> NoisyOr:
-    """Gradient descent on the log loss of the noisy-or, over features whose likelihood ratio passes `ratio`."""
+def train(docs: list[bytes], y: np.ndarray, epochs: int = 20, rate: float = 0.05, ratio: float = 18.0, least: float = 2.0, support: float = 0.02, bias: float = -9.0, scale: float = 1.0, seed: int = 5) -> NoisyOr:
+    """Gradient descent on the log loss of the noisy-or, over features whose likelihood ratio passes `ratio` and whose log odds of a
+    toxic text pass `least`, in a share of `support` of the toxic texts or more."""
     model = NoisyOr()
     y = np.asarray(y, np.int64)
     if not len(docs) or not y.any():
@@ -86,8 +87,8 @@ def train(docs: list[bytes], y: np.ndarray, epochs: int = 20, rate: float = 0.05
     with np.errstate(divide="ignore", invalid="ignore"):
         part = lambda count, expected: np.where(count > 0, count * np.log(count / expected), 0)
         g2 = 2 * (part(seen[1], n * share) + part(seen[0], n * (1 - share)))
-    chosen = (seen[1] > n * share) & (g2 >= ratio) & (seen[1] >= 3)
     odds = np.log((seen[1] + 0.5) / (y.sum() + 1)) - np.log((seen[0] + 0.5) / ((1 - y).sum() + 1))
+    chosen = (odds >= least) & (g2 >= ratio) & (seen[1] >= max(3, support * y.sum()))
     w, model.bias = model.weights, bias
     w[:-1][chosen] = odds[chosen] * scale
     sparse = []
