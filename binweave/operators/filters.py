@@ -73,5 +73,5 @@ def signed(dim: Dimension, old: Range | None, new: Range | None) -> Column:
 def sweep(encoded: DataFrame, dim: Dimension, windows: DataFrame) -> DataFrame:
     """windows (window, low, high) with count, the rows in each: from the histogram, which is joined by range on at most 65,536 bins."""
     hist = encoded.groupBy(F.col(dim.column).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    joined = F.broadcast(windows).join(F.broadcast(hist), F.col("bin").between(F.col("low"), F.col("high")), "left")
+    joined = windows.join(F.broadcast(hist), F.col("bin").between(F.col("low"), F.col("high")), "left")
     return joined.groupBy("window", "low", "high").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("count"))

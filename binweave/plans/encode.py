@@ -87,15 +87,7 @@ def _numeric(table: Table, name: str, null_as: str) -> Column:
 def fit(table: Table, options: Options = Options()) -> list[Dimension]:
     """The fitted dimensions of a table, in its order."""
     numbers = [n for n, t in table.types.items() if t == "number" and not options.dimensions.get(n, {}).get("domain")]
-    stats = {}
-    if numbers:
-        wanted = []
-        for i, n in enumerate(numbers):
-            v = _numeric(table, n, options.null_as)
-            good = F.when(finite(v), v)
-            wanted += [F.min(good).alias(f"l{i}"), F.max(good).alias(f"h{i}"), F.count_if(~finite(v)).alias(f"x{i}")]
-        row = table.df.agg(*wanted).first()
-        stats = {n: (row[f"l{i}"], row[f"h{i}"], row[f"x{i}"]) for i, n in enumerate(numbers)}
+    stats = _ranges(table, numbers, options.null_as)
     out = []
     for k, (name, kind) in enumerate(table.types.items()):
         own = options.dimensions.get(name, {})
@@ -115,10 +107,28 @@ def fit(table: Table, options: Options = Options()) -> list[Dimension]:
             low, high = map(float, domain)
             out.append(Dimension(name, k, kind, bits, Scale(low, high if high > low else low + 1, bits), coarse_bins=coarse))
             continue
-        low, high, strange = stats[name]
+        low, high, clean = stats[name]
         if low is None or low == high:
             low, high = 0.0, float(1 << bits)
-        out.append(Dimension(name, k, kind, bits, Scale(low, high, bits), clean=not strange, coarse_bins=coarse))
+        out.append(Dimension(name, k, kind, bits, Scale(low, high, bits), clean=clean, coarse_bins=coarse))
+    return out
+
+
+def _ranges(table: Table, names: Sequence[str], null_as: str) -> dict[str, tuple[float | None, float | None, bool]]:
+    """(least, largest, clean) of finite values, by one aggregation of all columns; those that turn out to have NaN or infinite values, which
+    show as a range that isn't finite, take one more."""
+    if not names:
+        return {}
+    plain, raw = [F.count(F.lit(1)).alias("n")], {n: _numeric(table, n, null_as) for n in names}
+    for i, n in enumerate(names):
+        plain += [F.min(raw[n]).alias(f"l{i}"), F.max(raw[n]).alias(f"h{i}"), F.count(raw[n]).alias(f"x{i}")]
+    row = table.df.agg(*plain).first()
+    out = {n: (row[f"l{i}"], row[f"h{i}"], row[f"x{i}"] == row["n"]) for i, n in enumerate(names)}
+    strange = [n for n, (low, high, _) in out.items() if low is not None and not (math.isfinite(low) and math.isfinite(high))]
+    if strange:
+        good = [F.when(finite(raw[n]), raw[n]) for n in strange]
+        row = table.df.agg(*[f(g) for g in good for f in (F.min, F.max)]).first()
+        out |= {n: (row[2 * i], row[2 * i + 1], False) for i, n in enumerate(strange)}
     return out
 
 
