@@ -272,7 +272,8 @@ def extract(pages: DataFrame, url: str = "url", source: str = "html", keep: list
     folder = folder or shared_dir(spark, "style-tree")
     host = free_name(pages, "_host")
     with_host = pages.withColumn(host, host_of(F.col(url)))
-    low = stored(low_branches(importance(nodes(with_host, host, source))), folder)
+    found = nodes(with_host, host, source).groupBy("host", "path", "plain", "style", "content").agg(*[F.sum(c).alias(c) for c in ("pages", "chars", "linked")])
+    low = stored(low_branches(importance(stored(found, f"{folder}/nodes"))), f"{folder}/low")
     name, joined = free_name(with_host, "_low"), with_host
     if low.isEmpty():
         joined = with_host.withColumn(name, F.lit(None).cast("array<bigint>"))
