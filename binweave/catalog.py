@@ -467,6 +467,21 @@ def cube_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.groupBy(F.col(dims[1].column).alias("bin")).agg(F.sum("n").alias("count"))
 
 
+_C = "WITH " + _binned("lineitem", 4, *LINE) + " "
+
+
+@_query(_C + _union("l_quantity BETWEEN 3 AND 9"))
+def refresh_from_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _filtered(_lines(spark, sf_dir, bins=16), l_quantity=(3, 9))
+    return s.refresh("cube")
+
+
+@_query(_C + _union("l_tax BETWEEN 3 AND 9"))
+def refresh_separately(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _filtered(_lines(spark, sf_dir, bins=16), l_tax=(3, 9))
+    return s.refresh("separate")
+
+
 @_query("SELECT l_returnflag AS operation, l_linenumber AS size, round(avg(l_extendedprice), 4) AS avg, min(l_extendedprice) AS min, max(l_extendedprice) AS max, round(stddev_pop(l_extendedprice), 4) AS stddev, round(avg(l_quantity), 6) AS avg_memory FROM lineitem GROUP BY 1, 2")
 def benchmark_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("operation"), F.col("l_linenumber").alias("size"), F.col("l_extendedprice").alias("ms"), F.col("l_quantity").alias("memory"))

@@ -10,6 +10,7 @@ import time
 import warnings
 import weakref
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -43,6 +44,7 @@ class Session:
         self.planner, self.last_profile, self._indexes = Planner(guard), None, {}
         self._encoded = encode(self.table, list(self.dims.values()), self.values, self.keep, null_as)
         self.cached, self.disposed, self.sequence = cache, False, 0
+        self._cube: DataFrame | None = None
         if cache:
             self._encoded = self._encoded.persist(StorageLevel.MEMORY_AND_DISK)
         self._end = weakref.finalize(self, self._encoded.unpersist) if cache else None
@@ -61,9 +63,15 @@ class Session:
         """Give back the cache; once is enough, more is no error."""
         if not self.disposed:
             self.disposed = True
+            self._drop_cube()
             if self._end is not None:
                 self._end()
 
+    def _drop_cube(self) -> None:
+        if self._cube is not None:
+            self._cube.unpersist()
+            self._cube = None
+
     def when_idle(self) -> None:
         """Nothing is ever pending: results are computed when they are read."""
 
@@ -91,6 +99,7 @@ class Session:
         new = fit(Table(own.df, own.types, own.order_by), opts)[0]
         self.table, self.options = table, opts
         self.dims[name] = Dimension(**{**new.__dict__, "position": len(self.dims)})
+        self._drop_cube()
         encoded = encode(table, list(self.dims.values()), self.values, self.keep, self.options.null_as)
         if self.cached:
             self._end()
@@ -116,9 +125,31 @@ class Session:
         encoded = encode(left, list(self.dims.values()), self.values, self.keep, self.options.null_as)
         return encoded.where(filters.active(self.dims, {n: r for n, r in ranges.items() if n not in at_source}))
 
-    def refresh(self) -> DataFrame:
-        """(dim, bin, count) of all dimensions over the active rows, by one job."""
-        return histograms.all_histograms(self.rows(), list(self.dims.values()))
+    def refresh(self, strategy: str = "auto") -> DataFrame:
+        """(dim, bin, count) of all dimensions over the active rows.
+
+        strategy: scan (all dimensions by one pass and one shuffle), separate (a pass for each), cube (from the joint counts, built if need be),
+        or auto (cube where one is built, else scan). All give the same rows."""
+        dims = list(self.dims.values())
+        if strategy == "auto":
+            strategy = "scan" if self._cube is None else "cube"
+        if strategy == "scan" or not dims:
+            return histograms.all_histograms(self.rows(), dims)
+        if strategy == "separate":
+            rows = self.rows()
+            each = [histograms.histogram(rows, d).select(F.lit(d.name).alias("dim"), "bin", "count") for d in dims]
+            return reduce(DataFrame.unionByName, each)
+        if strategy != "cube":
+            raise ValueError(f"no strategy {strategy!r}")
+        if self._cube is None:
+            self.build_cube()
+        return histograms.all_histograms(self._cube.where(filters.active(self.dims, self.filters)), dims, F.col("n"))
+
+    def build_cube(self) -> int:
+        """Keep the joint counts of all dimensions, and return how many combinations there are. Worth it where they are far fewer than rows."""
+        self._drop_cube()
+        self._cube = histograms.cube(self._encoded, list(self.dims.values())).persist(StorageLevel.MEMORY_AND_DISK)
+        return self._cube.count()
 
     def refresh_with(self, before: DataFrame, name: str, new: filters.Range | None) -> DataFrame:
         """What refresh() gives after the filter of a dimension becomes new, from the histograms before it and the rows that come or go."""

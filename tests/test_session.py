@@ -288,3 +288,18 @@ def test_flights_and_reports(spark, tmp_path):
     for k in range(3):
         write_report({"k": k}, tmp_path / f"r-{k}.json")
     assert latest_reports(tmp_path, "r-", 2) == [{"k": 1}, {"k": 2}]
+
+
+def test_strategies_agree(spark):
+    s = Session(from_frame(generate.uniform(spark, 3000, 3), ["dim0", "dim1", "dim2"]), bins=8)
+    s.dimension("dim0").filter((2, 6))
+    want = snapshot(s.refresh("scan"))
+    assert want == snapshot(s.refresh("separate")) == snapshot(s.refresh("cube"))
+    assert s.build_cube() <= 512
+    s.dimension("dim1").filter((1, 3))
+    assert snapshot(s.refresh()) == snapshot(s.refresh("scan"))
+    s.add_dimension("row_order")
+    assert snapshot(s.refresh()) == snapshot(s.refresh("cube"))
+    with pytest.raises(ValueError):
+        s.refresh("other")
+    s.dispose()
