@@ -14,7 +14,11 @@ from pyspark.sql import types as T
 from binweave.plans.storage import shared_dir, stored  # noqa: F401  the operators' too
 
 #: Text bytes handled at once inside a task; temporary arrays are a small multiple of this.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch between Spark and a task's Python, where the session allows more.
+BATCH_ROWS = 1000
+#: Bits of a sieve for each key, and at most (8 MB).
+SIEVE_BITS, SIEVE_MOST = 16, 1 << 26
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -23,6 +27,13 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """At most BATCH_ROWS rows in an Arrow batch: whole texts in batches of Spark's 10,000 rows take hundreds of MB on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with underscores in front until no column of df has it."""
     taken = {c.lower() for c in df.columns}
@@ -36,12 +47,41 @@ def row_key(key: str, text: str) -> Column:
     return F.struct(F.col(f"`{key}`").alias("k"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("h"))
 
 
+def sieve(hashes: DataFrame) -> Callable[[Column], Column] | None:
+    """A condition on a 64-bit hash that every hash of a column (the first of hashes) meets, and few others: a bit set, summed up by
+    the executors. None where a set of SIEVE_MOST bits would be too full to tell. Rows that fail it need no join."""
+    h = F.col(hashes.columns[0])
+    n = hashes.count()
+    bits = max(1 << 10, 1 << (SIEVE_BITS * n - 1).bit_length() if n else 0)
+    if bits > SIEVE_MOST:
+        if 4 * n > SIEVE_MOST:
+            return None
+        bits = SIEVE_MOST
+    place = hashes.select(F.pmod(h, F.lit(bits)).alias("p")).selectExpr("shiftright(p, 6) AS w", "shiftleft(1L, CAST(p & 63 AS INT)) AS b")
+    words = place.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    table = np.zeros(bits >> 6, np.int64)
+    table[words["w"].to_numpy()] = words["b"].to_numpy()
+    known = table.view(np.uint64)
+
+    @F.arrow_udf("boolean")
+    def there(x: pa.Array) -> pa.Array:
+        at = x.to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(bits - 1)  # bits is a power of two
+        return pa.array((known[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1)
+
+    return there
+
+
 def without(df: DataFrame, keys: DataFrame, key: str, text: str) -> DataFrame:
-    """df without the rows whose row_key is among keys (one struct column). Spark broadcasts keys, stored as a file, where the file's
-    size is below spark.sql.autoBroadcastJoinThreshold, and joins by sorting otherwise."""
+    """df without the rows whose row_key is among keys (one struct column, stored). Rows that the keys' sieve clears aren't moved; Spark joins
+    the rest, broadcasting keys where their file is below spark.sql.autoBroadcastJoinThreshold, else by sorting."""
     name, have = free_name(df, "_key"), keys.select(F.col(keys.columns[0])["k"].alias("_k"), F.col(keys.columns[0])["h"].alias("_h"))
     rows = df.withColumn(name, row_key(key, text))
-    return rows.join(have, rows[name]["k"].eqNullSafe(have["_k"]) & (rows[name]["h"] == have["_h"]), "left_anti").drop(name)
+    match = lambda left: left.join(have, left[name]["k"].eqNullSafe(have["_k"]) & (left[name]["h"] == have["_h"]), "left_anti")
+    maybe = sieve(have.select("_h"))
+    if maybe is None:
+        return match(rows).drop(name)
+    hit = maybe(F.col(name)["h"])
+    return rows.where(~hit).unionByName(match(rows.where(hit))).drop(name)
 
 
 def remainder(doc_id: Column, mod: int) -> Column:
@@ -100,6 +140,7 @@ def attach(df: DataFrame, text: str, columns: list[tuple[str, T.DataType]], make
     """df with columns computed from slices of it; make() runs once a task and returns the function of a slice.
 
     keep: the input columns of the result (all if None). One with the name of a computed column is replaced by that."""
+    bound_batches(df.sparkSession)
     new = {n.lower() for n, _ in columns}
     kept = [f for f in df.schema.fields if f.name.lower() not in new and (keep is None or f.name in keep)]
     schema = T.StructType([*kept, *[T.StructField(n, t) for n, t in columns]])

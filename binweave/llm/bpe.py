@@ -74,8 +74,8 @@ class PerfectHash:
 class Codec:
     """Encoder and decoder for one rank file (lines of base64 bytes and rank) and one pre-token pattern."""
 
-    #: Encoded pre-tokens remembered by a task, and the longest of them in bytes.
-    MEMO, MEMO_BYTES = 400_000, 48
+    #: Encoded pre-tokens that a task remembers, and the longest of them in bytes.
+    MEMO, MEMO_BYTES = 300_000, 48
 
     def __init__(self, ranks: bytes, pattern: str):
         pairs = [line.split() for line in ranks.splitlines() if line]
@@ -85,7 +85,6 @@ class Codec:
         for k, v in self.vocab.items():
             self.bytes[v] = k
         self.split = regex.compile(pattern).findall
-        self.memo: dict[str, bytes] = {}
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of a pre-token by merges."""
@@ -108,21 +107,22 @@ class Codec:
                 heappush(heap, (r, p, stop))
         return [self.vocab[word[i : end[i]]] for i in range(n) if alive[i]]
 
-    def part(self, token: str) -> bytes:
-        """Ids of a pre-token as little-endian 32-bit integers."""
+    def part(self, token: str, memo: dict[str, bytes]) -> bytes:
+        """Ids of a pre-token as little-endian 32-bit integers; memo remembers them."""
         word = token.encode()
         found = self.table.get(word)
         out = found.to_bytes(4, "little") if found >= 0 else np.array(self.merge(word), "<u4").tobytes()
         if len(word) <= self.MEMO_BYTES:
-            if len(self.memo) >= self.MEMO:
-                self.memo.clear()
-            self.memo[token] = out
+            if len(memo) >= self.MEMO:
+                memo.clear()
+            memo[token] = out
         return out
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian 32-bit integers."""
-        got, part = self.memo.get, self.part
-        return b"".join([got(t) or part(t) for t in self.split(text)])
+    def encode(self, text: str, memo: dict[str, bytes] | None = None) -> bytes:
+        """Ids of a text as little-endian 32-bit integers; memo: encoded pre-tokens, kept from text to text."""
+        memo = {} if memo is None else memo
+        got, part = memo.get, self.part
+        return b"".join([got(t) or part(t, memo) for t in self.split(text)])
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes of ids; an id outside the vocabulary raises IndexError."""
@@ -141,10 +141,10 @@ def encode(df: DataFrame, text: str, vocabulary: str, pattern: str, ids: str = "
         ranks = f.read()
 
     def make():
-        c = codec(ranks, pattern)
+        c, memo = codec(ranks, pattern), {}
 
         def work(part):
-            return [pa.array([c.encode(x.decode()) for x in texts(part.column(text))], pa.binary())]
+            return [pa.array([c.encode(x.decode(), memo) for x in texts(part.column(text))], pa.binary())]
 
         return work
 
@@ -173,10 +173,10 @@ def round_trip(df: DataFrame, text: str, vocabulary: str, pattern: str, with_ids
         ranks = f.read()
 
     def make():
-        c = codec(ranks, pattern)
+        c, memo = codec(ranks, pattern), {}
 
         def work(part):
-            ids = [c.encode(x.decode()) for x in texts(part.column(text))]
+            ids = [c.encode(x.decode(), memo) for x in texts(part.column(text))]
             return [
                 pa.array([len(x) // 4 for x in ids], pa.int64()),
                 pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from binweave.llm._common import delete, row_key, shared_dir, slices, stored, utf8, without
+from binweave.llm._common import bound_batches, delete, row_key, shared_dir, slices, stored, utf8, without
 from binweave.llm.words import distinct, mix, shingles, words
 
 #: Similarity, shingle words, recall of a pair just at the similarity, tokens of a path at most, bucket size that is compared outright,
@@ -248,6 +248,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: f
     same set), n_copies (rows with the same set), n_links (classes of other sets linked with its own). With pairs: the links themselves
     between classes as (a, b, similarity), by copy_id."""
     spark = docs.sparkSession
+    bound_batches(spark)
     folder = folder or shared_dir(spark, "chosen-path")
     table = stored(sets(docs, key, text, width, similarity, runs(similarity, target, depth)), f"{folder}/sets")
     rep = stored(table.where("sig is not null").groupBy("sig").agg(F.min("row").alias("row"), F.min("id").alias("copy_id"), F.count(F.lit(1)).alias("n_copies")), f"{folder}/classes")

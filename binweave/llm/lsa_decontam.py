@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from binweave.llm._common import SLICE_BYTES, delete, row_key, shared_dir, slices, stored, utf8, without
+from binweave.llm._common import SLICE_BYTES, bound_batches, delete, row_key, shared_dir, slices, stored, utf8, without
 from binweave.llm.words import words
 
 WINDOW, STOP, RANK, SKETCH, BLOCK, GROUP = 64, 0.02, 232, 56, 200, 4000
@@ -328,6 +328,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     """One row for each row of docs: key, contaminated, and leaks: an array of (item, cosine, lcs, answer, start, stop), by item, with
     word places in the text."""
     spark = docs.sparkSession
+    bound_batches(spark)
     folder = folder or shared_dir(spark, "decontaminate")
     todo = benchmark.select(F.col(item).cast("long"), F.col(item_text)).where(F.col(item_text).isNotNull()).orderBy(item, item_text).toLocalIterator()
     found, table, g = None, None, 0

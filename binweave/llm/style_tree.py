@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from binweave.llm._common import attach, free_name, shared_dir, slices, stored, texts
+from binweave.llm._common import attach, bound_batches, free_name, shared_dir, slices, stored, texts
 
 #: A node needs so many pages before entropies count; share of the host's best importance below which a branch goes; weight of content.
 MIN_PAGES, LOW, CONTENT_WEIGHT = 4, 0.3, 0.8
@@ -268,8 +268,8 @@ def low_branches(tree: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame, url: str = "url", source: str = "html", keep: list[str] | None = None, folder: str | None = None) -> DataFrame:
     """pages (or the columns keep) with text and n_chars."""
-    spark = pages.sparkSession
-    folder = folder or shared_dir(spark, "style-tree")
+    bound_batches(pages.sparkSession)
+    folder = folder or shared_dir(pages.sparkSession, "style-tree")
     host = free_name(pages, "_host")
     with_host = pages.withColumn(host, host_of(F.col(url)))
     found = nodes(with_host, host, source).groupBy("host", "path", "plain", "style", "content").agg(*[F.sum(c).alias(c) for c in ("pages", "chars", "linked")])

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from binweave.llm._common import shared_dir, stored, texts
+from binweave.llm._common import bound_batches, shared_dir, stored, texts
 
 #: Payloads below this many bytes are never revisits; a file is closed after so many bytes; a reading task's share of a file.
 LEAST, FILE_BYTES, CHUNK_BYTES = 100, 256 << 20, 8 << 20
@@ -65,7 +65,7 @@ def record(key: object, url: str | None, payload: bytes, digest: str, first: obj
 
 def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write a record for each row under folder, and return the files (FILE), stored beside them."""
-    spark = pages.sparkSession
+    bound_batches(pages.sparkSession)
     again = stored(revisits(pages, key, payload), f"{folder}/revisits")
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(payload).alias("payload"), F.sha2(F.coalesce(F.col(payload), F.lit("")).cast("binary"), 256).alias("digest"))
     if not again.isEmpty():

@@ -50,8 +50,9 @@ def test_perfect_hash(codec):
 
 def test_memory_of_encoded_words_is_bounded(codec, monkeypatch):
     monkeypatch.setattr(bpe.Codec, "MEMO", 3)
-    text = "one two three four five six"
-    assert codec.decode(codec.encode(text)) == text.encode()
+    text, memo = "one two three four five six", {}
+    assert codec.decode(codec.encode(text, memo)) == text.encode() == codec.decode(codec.encode(text, memo))
+    assert len(memo) <= 3
 
 
 def test_frames(spark, known):

@@ -58,3 +58,28 @@ def test_samples_and_names(spark):
     assert free_name(spark.createDataFrame([], "X int, _x int"), "x") == "__x"
     kept = spark.createDataFrame([(None,), (0,)], "id long").select(held_out(F.col("id"), 4, 2)).collect()
     assert kept[0][0] is False
+
+
+def test_sieve_lets_all_keys_through(spark, monkeypatch):
+    from binweave.llm import _common
+
+    df = spark.range(20_000).select(F.col("id"), F.xxhash64("id").alias("h"))
+    keys = df.where("id % 10 = 0").select("h")
+    maybe = _common.sieve(keys)
+    hit = {r["id"] for r in df.where(maybe(F.col("h"))).collect()}
+    assert {i for i in range(0, 20_000, 10)} <= hit
+    assert len(hit) < 4000
+    assert df.where(_common.sieve(keys.limit(0))(F.col("h"))).count() == 0
+    monkeypatch.setattr(_common, "SIEVE_MOST", 1024)
+    assert _common.sieve(keys) is None
+
+
+def test_without(spark):
+    from binweave.llm._common import row_key, stored, shared_dir, without
+
+    rows = [(1, "a"), (1, "b"), (None, "a"), (None, None), (2, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_key", F.lit(0))
+    gone = stored(df.where("text = 'a' and (doc_id = 1 or doc_id is null)").select(row_key("doc_id", "text").alias("key")), shared_dir(spark, "k"))
+    got = without(df, gone, "doc_id", "text")
+    assert got.columns == df.columns
+    assert sorted(map(repr, ((r[0], r[1]) for r in got.collect()))) == sorted(map(repr, [(1, "b"), (None, None), (2, "a")]))
