@@ -1,4 +1,4 @@
-"""The interface of classic crossfilter libraries over a Session: dense groups with bins as keys."""
+"""The interface that older linked-filter libraries have, over a Session: dense groups with bins as keys."""
 
 from __future__ import annotations
 
