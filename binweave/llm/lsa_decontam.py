@@ -91,12 +91,12 @@ def benchmark_items(rows: list[tuple]) -> tuple[list[Item], Vocabulary]:
 
 
 def pieces(items: list[Item]) -> list[tuple[int, np.ndarray]]:
-    """(place of the item, ids) of passages of items; those of up to 64 words are one."""
+    """(place of the item, ids) of passages of items: one of those of up to WINDOW words, else windows overlapping by half or more, the
+    last at the item's end."""
     out = []
     for i, item in enumerate(items):
-        n = len(item.ids)
-        starts = [0] if n <= 64 else range(0, max(1, n - _HALF), WINDOW)
-        out += [(i, item.ids[s : s + (64 if n <= 64 else WINDOW)]) for s in starts]
+        last = max(0, len(item.ids) - WINDOW)
+        out += [(i, item.ids[s : s + WINDOW]) for s in [*range(0, last, _HALF), last]]
     return out
 
 

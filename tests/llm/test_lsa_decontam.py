@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -145,3 +146,28 @@ def test_fit_needs_most_of_the_item(n):
     half = near.copy()
     half[50 : 50 + n // 2 + 1] = 98
     assert d.fit(item, half, 40, 104) is None
+
+
+@pytest.mark.parametrize("n", [1, 7, 63, 64, 65, 96, 97, 128, 160, 300])
+def test_pieces_cover_every_word(n):
+    item = d.Item(1, np.arange(1, n + 1), np.arange(n, n + 1))
+    got = [p.tolist() for _, p in d.pieces([item])]
+    assert {x for p in got for x in p} == set(range(1, n + 1))
+    assert all(len(p) == min(n, d.WINDOW) for p in got)
+    assert all(b[0] - a[0] <= d.WINDOW // 2 for a, b in zip(got, got[1:]))
+
+
+def test_leaks_of_the_latter_part_of_long_items(spark, prose):
+    many = [f"word{i}" for i in range(6000)]
+    bench = [(i, prose(900 + i, [65, 96, 160][i % 3] - 8, many) + ". " + prose(600 + i, 8, many) + ".") for i in range(60)]
+    docs = []
+    for i, t in bench:
+        w = t.split()
+        part = w[-math.ceil(0.56 * len(w)) :]
+        if len(w) > 65:  # words of other items, a few of each, amid all but the last 32
+            other = iter(bench[(i + 3) % 60][1].split()[:60] + bench[(i + 6) % 60][1].split()[:60])
+            part = [x for y in part[:-32] for x in (y, next(other), next(other))] + part[-32:]
+        docs.append((i, prose(5000 + i, 100 + i, many) + " " + " ".join(part) + " " + prose(7000 + i, 150, many)))
+    docs += [(1000 + i, prose(8000 + i, 300, many)) for i in range(200)]
+    out = d.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(r["doc_id"], x["item"]) for r in out for x in r["leaks"]} == {(i, i) for i, _ in bench}
