@@ -250,7 +250,7 @@ def longest_common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def fit(item: Item, text: np.ndarray, start: int, stop: int) -> tuple[float, float, int, int] | None:
-    """(share of the item, share of its answer, first and end word) of the best stretch of text near [start, stop) if that is a leak."""
+    """(share of the item, share of its answer, first and end word) of the best of all stretches of text near [start, stop) that are leaks."""
     n = len(item.ids)
     length = n if n < 8 else int(1.25 * n) + 2
     a, b = max(0, start - n), min(len(text), stop + n)
@@ -261,14 +261,22 @@ def fit(item: Item, text: np.ndarray, start: int, stop: int) -> tuple[float, flo
         hits = [s for s in range(len(near) - n + 1) if (near[s : s + n] == item.ids).all()]
         return (1.0, 1.0, a + hits[0], a + hits[0] + n) if hits else None
     many = inside[length:] - inside[: len(inside) - length]
+    most = many.copy()  # no common subsequence of a stretch is longer, nor by more than their distance than that of another stretch
+    place = np.arange(len(many))
     best = None
-    for s in np.argsort(-many, kind="stable")[:3].tolist():
-        if many[s] < PART * n:
+    for s in np.argsort(-many, kind="stable").tolist():
+        if many[s] / n < PART or best and many[s] < best[0]:
             break
-        share = longest_common(item.ids, near[s : s + length]) / n
-        if best is None or share > best[0]:
-            best = (share, longest_common(item.answer, near[s : s + length]) / len(item.answer), a + s, a + s + length)
-    return best if best and (best[0] >= MOST or best[0] >= PART and best[1] >= ANSWER) else None
+        if most[s] / n < PART or best and (most[s], 1.0) <= best[:2]:
+            continue
+        common = longest_common(item.ids, near[s : s + length])
+        most = np.minimum(most, common + np.abs(place - s))
+        if common / n < PART:
+            continue
+        answer = longest_common(item.answer, near[s : s + length]) / len(item.answer)
+        if (common / n >= MOST or answer >= ANSWER) and (best is None or (common, answer) > best[:2]):
+            best = (common, answer, s)
+    return (best[0] / n, best[1], a + best[2], a + best[2] + length) if best else None
 
 
 FOUND = "row long, item long, cosine double, lcs double, answer double, start long, stop long"

@@ -171,3 +171,28 @@ def test_leaks_of_the_latter_part_of_long_items(spark, prose):
     docs += [(1000 + i, prose(8000 + i, 300, many)) for i in range(200)]
     out = d.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
     assert {(r["doc_id"], x["item"]) for r in out for x in r["leaks"]} == {(i, i) for i, _ in bench}
+
+
+@given(st.integers(8, 24), st.lists(st.integers(0, 30), min_size=10, max_size=90), st.integers(0, 60), st.integers(0, 2**32 - 1))
+def test_fit_judges_every_stretch(n, text, place, seed):
+    rng = np.random.default_rng(seed)
+    item = d.Item(1, rng.integers(1, 25, n), np.zeros(0))
+    item.answer = item.ids[-max(4, n // 4) :]
+    copy = [x for t in item.ids.tolist() for x in [[t], [t], [t, 0], [int(rng.integers(0, 25))]][rng.integers(4)]]
+    near = np.array(text[:place] + copy + text[place:])
+    length, found = min(int(1.25 * n) + 2, len(near)), []
+    for s in range(len(near) - length + 1):
+        stretch = near[s : s + length].tolist()
+        share, answer = table(item.ids.tolist(), stretch) / n, table(item.answer.tolist(), stretch) / len(item.answer)
+        if share >= d.MOST or share >= d.PART and answer >= d.ANSWER:
+            found.append((share, answer))
+    got = d.fit(item, near, 0, len(near))
+    assert (got and got[:2]) == (max(found) if found else None)
+
+
+def test_a_stretch_of_more_words_does_not_hide_the_leak():
+    item = d.Item(1, np.arange(1, 41), np.arange(31, 41))
+    leak = np.concatenate([np.full(22, 99), np.arange(19, 41), np.full(8, 99)])  # 22 of 40 words, the answer among them
+    common = np.tile([3, 2, 1], 20)  # more words of the item, but in no order
+    got = d.fit(item, np.concatenate([leak, common]), 0, 112)
+    assert got[:2] == (0.55, 1.0)
