@@ -8,7 +8,8 @@ its own under fresh names, and only files that a finished task reports are ever
 Reader: a task takes a byte range (chunk) of a file and emits every place that reads as a record's start, magic inside payloads included,
 with its successor: where the next record would begin by its length. Inside a chunk, successors are followed at once to the first place
 beyond it. Among chunks, pointer jumping from offset 0 doubles the distance each round, so a file of n chunks takes log2(n) rounds of joins
-on a row for each candidate entry. Only what offset 0 reaches is read as a record. A record cut off by the end of its file is left out."""
+on a row for each candidate entry. Only what offset 0 reaches is read as a record. Headers may have any length. A record cut off by the end of its file is left out;
+a chain that ends earlier, and one of fewer or more records than the files' column `records` says, if there is one, raise an error."""
 
 from __future__ import annotations
 
@@ -28,7 +29,7 @@ from binweave.llm._common import bound_batches, shared_dir, stored, texts
 
 #: Payloads below this many bytes are never revisits; a file is closed after so many bytes; a reading task's share of a file.
 LEAST, FILE_BYTES, CHUNK_BYTES = 100, 256 << 20, 8 << 20
-#: Longest header understood, and bytes read at once.
+#: Bytes of a header read at first, and bytes read at once.
 HEADER_BYTES, READ_BYTES = 1 << 16, 1 << 20
 _START = re.compile(rb"WARC/1\.[01]\r\n")
 _LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*(\d{1,18})[ \t]*(?=\r\n|$)", re.IGNORECASE)
@@ -103,26 +104,50 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
 
 
 class _Source:
-    """Ranges of one file; the last block read is kept."""
+    """Ranges of one file; the last blank line searched for is kept."""
 
     def __init__(self, uri: str):
         store, path = fs.FileSystem.from_uri(uri)
-        self.file = store.open_input_file(path)
+        self.uri, self.file = uri, store.open_input_file(path)
         self.size = self.file.size()
+        self.searched, self.blank = 0, -1
 
     def read(self, at: int, n: int) -> bytes:
         return self.file.read_at(max(0, min(n, self.size - at)), at) if at < self.size else b""
 
+    def blank_line(self, at: int) -> int:
+        """Place of the first blank line at or after a place, the file's size if there is none."""
+        if not self.searched <= at <= self.blank:
+            self.searched, k = at, at
+            while k < self.size and (stop := self.read(k, READ_BYTES + 3).find(b"\r\n\r\n")) < 0:
+                k += READ_BYTES
+            self.blank = k + stop if k < self.size else self.size
+        return self.blank
+
     def header(self, at: int, near: bytes = b"") -> tuple[bytes, int, int] | None:
         """Header, payload's start and length of a record that would begin at a place; None if none can."""
         raw = near
         if (stop := raw.find(b"\r\n\r\n")) < 0 and len(raw) < HEADER_BYTES:
             raw = self.read(at, HEADER_BYTES)
             stop = raw.find(b"\r\n\r\n")
+        if stop < 0 and _START.match(raw):
+            lines = raw.split(b"\r\n")[1:-1]
+            if not all(b":" in x or x[:1] in (b" ", b"\t") for x in lines) or self.blank_line(at) == self.size:
+                return None  # payload after a magic, or cut off
+            stop = self.blank_line(at) - at
+            raw = self.read(at, stop)
         if stop < 0 or not _START.match(raw) or not (m := _LENGTH.search(raw, 0, stop)):
             return None
         return raw[:stop], at + stop + 4, int(m[1])
 
+    def check_end(self, at: int) -> None:
+        """An error if a chain of records ends at a place before the file's end at which no cut-off record begins."""
+        if at >= self.size or self.header(at):
+            return
+        raw = self.read(at, 10)
+        if not (b"WARC/1.0\r\n".startswith(raw) or b"WARC/1.1\r\n".startswith(raw)) or self.blank_line(at) < self.size:
+            raise ValueError(f"{self.uri}: no record at byte {at} of {self.size}, where the one before ends")
+
     def candidates(self, start: int, stop: int) -> Iterator[tuple[int, int]]:
         """(offset, successor) of each place in a range that reads as a record's start."""
         at, margin = start, 12
@@ -144,17 +169,27 @@ def _exits(found: list[tuple[int, int]], stop: int) -> list[tuple[int, int, int]
     return [(at, after, out[at]) for at, after in found]
 
 
+def _whole(found: list[tuple[int, int]], stop: int, size: int) -> list[int]:
+    """How many records that their file of a size does not cut off the chain of each candidate has in a range."""
+    out: dict[int, int] = {}
+    for at, after in reversed(found):
+        out[at] = (after - 4 <= size) + (out.get(after, 0) if after < stop else 0)
+    return [out[at] for at, _ in found]
+
+
 def candidates(chunks: DataFrame) -> DataFrame:
-    """(file, start, stop, offset, successor, exit) of all candidates of chunks (file, start, stop)."""
-    names = ["file", "start", "stop", "offset", "successor", "exit"]
+    """(file, start, stop, offset, successor, exit, n) of all candidates of chunks (file, start, stop); n is that of _whole()."""
+    names = ["file", "start", "stop", "offset", "successor", "exit", "n"]
 
     def run(batches):
         for batch in batches:
             for file, start, stop in zip(*[batch.column(c).to_pylist() for c in ("file", "start", "stop")], strict=True):
-                got = _exits(list(_Source(file).candidates(start, stop)), stop)
-                yield pa.RecordBatch.from_arrays([pa.array([file] * len(got), pa.string()), *[pa.array([x] * len(got), pa.int64()) for x in (start, stop)], *[pa.array([g[i] for g in got], pa.int64()) for i in range(3)]], names=names)
+                source = _Source(file)
+                places = list(source.candidates(start, stop))
+                got = [(*e, n) for e, n in zip(_exits(places, stop), _whole(places, stop, source.size), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(got), pa.string()), *[pa.array([x] * len(got), pa.int64()) for x in (start, stop)], *[pa.array([g[i] for g in got], pa.int64()) for i in range(4)]], names=names)
 
-    return chunks.mapInArrow(run, "file string, start long, stop long, offset long, successor long, exit long")
+    return chunks.mapInArrow(run, "file string, start long, stop long, offset long, successor long, exit long, n long")
 
 
 def chunks_of(files: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -205,15 +240,21 @@ def _records(source: _Source, file: str, at: int, stop: int, with_payload: bool)
             size, value = int(fields.get("x-payload-length") or 0), fields.get("warc-payload-digest", "").removeprefix("sha256:")
         yield file, at, kind, unwrap(fields.get("warc-record-id")) or None, fields.get("warc-target-uri"), unwrap(fields.get("warc-refers-to")), size, value, None if payload is None or kind == "revisit" else b"".join(payload)
         at = begin + length + 4
+    source.check_end(at)
 
 
 def read(files: DataFrame, folder: str | None = None, with_payload: bool = True, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Records (RECORD) of files (file, bytes). Digest and size are of the bytes read; a revisit's are those its header states, and it has
+    """Records (RECORD) of files (file, bytes and, to be compared with, records). Digest and size are of the bytes read; a revisit's are those its header states, and it has
     no payload. folder holds the candidates and the rounds of pointer jumping."""
     spark: SparkSession = files.sparkSession
     folder = folder or shared_dir(spark, "warc")
     found = stored(candidates(chunks_of(files, chunk_bytes)), f"{folder}/candidates")
-    into = entries(found, files, folder, chunk_bytes)
+    into = stored(entries(found, files, folder, chunk_bytes), f"{folder}/entries")
+    if "records" in files.columns:
+        have = into.join(found.select("file", "offset", "stop", "n"), ["file", "offset", "stop"]).groupBy("file").agg(F.sum("n").alias("n"))
+        wrong = files.join(have, "file", "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n <> records").select("file", "n", "records").first()
+        if wrong:
+            raise ValueError(f"{wrong[0]}: {wrong[1]} records where {wrong[2]} were written")
 
     def run(batches):
         for batch in batches:

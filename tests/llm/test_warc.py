@@ -70,3 +70,26 @@ def test_files_of_failed_tasks_are_never_read(spark):
 
 def test_exits():
     assert warc._exits([(0, 10), (4, 5), (10, 20), (12, 99)], 16) == [(0, 10, 20), (4, 5, 5), (10, 20, 20), (12, 99, 99)]
+
+
+@pytest.mark.parametrize("chunk", [8 << 20, 20_000])
+def test_headers_of_any_length(spark, chunk):
+    long = [65_000, 65_535, 65_536, 70_000, 1_200_000]
+    rows = [(i, "data:," + "u" * long[i // 2] if i % 2 and i < 10 else "http://h", f"page {i} " * 20 + EVIL.replace("\r\n\r\n", "\r\n") * (i % 3)) for i in range(20)]
+    files = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), shared_dir(spark, "w"))
+    got = warc.read(files, shared_dir(spark, "r"), chunk_bytes=chunk).collect()
+    assert sorted((int(r["record_id"]), r["url"], bytes(r["payload"]).decode()) for r in got) == rows
+
+
+def test_lost_records_raise(spark, tmp_path):
+    raw = [warc.record(i, "u", b"p" * 50, hashlib.sha256(b"p" * 50).hexdigest()) for i in range(4)]
+    for k, part in enumerate([b"".join(raw[:2]) + b"junk" + b"".join(raw[2:]), b"".join(raw[:2]) + raw[2].replace(b"Content-Length", b"Length")]):
+        (tmp_path / f"{k}.warc").write_bytes(part)
+        for chunk in (8 << 20, len(raw[0]) + len(raw[1])):
+            with pytest.raises(Exception, match="no record at byte"):
+                warc.read(warc.files_under(spark, f"file://{tmp_path}/{k}.warc"), chunk_bytes=chunk).collect()
+    (tmp_path / "c.warc").write_bytes(b"".join(raw)[:-30])
+    files = warc.files_under(spark, f"file://{tmp_path}/c.warc")
+    assert warc.read(files.selectExpr("*", "3L as records")).count() == 3
+    with pytest.raises(ValueError, match="3 records where 4 were written"):
+        warc.read(files.selectExpr("*", "4L as records"))
