@@ -1,6 +1,7 @@
 """Toxicity by multiple-instance learning: a text is a bag of sentences, and is toxic if any sentence is.
 
-A sentence's probability is a logistic function of its hashed words and word beginnings; the text's is the noisy-or 1 - prod(1 - p).
+A sentence's probability is a logistic function of its hashed words and word beginnings, 0 if none of them has a weight, so that clean
+sentences do not add up however many there are; the text's is the noisy-or 1 - prod(1 - p).
 Only text labels train it, so the gradient reaches a sentence through its share in the noisy-or, and the offending sentences are located
 by their own probabilities. Only features that occur in toxic texts more than chance explains (a log-likelihood ratio test over the
 training texts) get weights, which start at their log odds and are refined by gradient descent. Sentences end at . ! ? and line ends. Whole texts count. Null and empty texts have no sentence, score 0 and no spans.
@@ -58,8 +59,9 @@ class NoisyOr:
 
     def sentence(self, bucket: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Probability of each sentence."""
-        z = np.clip(segment_sum(self.weights[bucket].sum(1), first) + self.bias, -60, 30)
-        return 1 / (1 + np.exp(-z))
+        weight = self.weights[bucket]
+        z = np.clip(segment_sum(weight.sum(1), first) + self.bias, -60, 30)
+        return np.where(segment_sum((weight != 0).any(1).astype(np.int64), first) > 0, 1 / (1 + np.exp(-z)), 0)
 
     def bags(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
         """Probability of each text, then of each sentence with its text and byte range."""
@@ -96,7 +98,8 @@ def train(docs: list[bytes], y: np.ndarray, epochs: int = 20, rate: float = 0.05
         flat = bucket.ravel()
         good = (flat >= 0) & chosen[flat]
         sentence = np.repeat(np.arange(len(first) - 1), np.diff(first) * bucket.shape[1])[good]
-        sparse.append((flat[good], sentence, len(first) - 1))
+        some, sentence = np.unique(sentence, return_inverse=True)  # the others have probability 0
+        sparse.append((flat[good], sentence, len(some)))
     for epoch in range(epochs):
         step = rate / (1 + 0.3 * epoch)
         for i in rng.permutation(len(docs)):

@@ -119,3 +119,13 @@ def test_model_edges(spark, module, label):
     assert module.score(cases.limit(0), model).count() == 0
     empty = module.fit(docs, marks.limit(0))
     assert all(r["score"] == 0.5 if module is quality_fm else 0 <= r["score"] < 1e-9 for r in module.score(cases, empty).collect())
+
+
+def test_clean_sentences_do_not_add_up(documents, labels):
+    model = toxic_mil.fit(documents, labels)
+    toxic = documents.join(labels.where("toxic = 1"), "doc_id").where("text like '% idiot %'").orderBy("doc_id").first()["text"]
+    clean = "fine day. good dog! " * 100_000
+    data, off = utf8(pa.array([clean, clean + toxic]))
+    total, *_ = model.bags(data, off)
+    assert total[0] == 0
+    assert total[1] >= 0.7
