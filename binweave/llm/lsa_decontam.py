@@ -6,7 +6,8 @@ words). A single-pass randomised SVD (Nystroem, SKETCH columns) of all corpus pa
 of the weight of the largest singular value, gives a latent space of RANK dimensions: tasks sum A'(A Omega), the driver solves the rest. Windows of
 each text, overlapping by half, whose cosine with a benchmark passage passes COSINE are candidates, all of them. A candidate is a leak if the
 longest common subsequence of words with the stretch of the text that best fits the item covers MOST of the item, or PART of it
-and ANSWER of its answer (its last sentence). Items of fewer than 8 words must occur word for word.
+and ANSWER of its answer (its last sentence). Items of fewer than SHORT words must occur word for word, are found by exact matching of
+their ids in a scan of their own, and have a cosine of 1.
 
 The benchmark comes to the driver in groups of GROUP items, and each block of BLOCK passages has a latent space of its own, so neither
 is bounded by memory. Every row has a result; null texts and texts without words are clean; benchmark items that are null or have no words
@@ -29,6 +30,7 @@ from binweave.llm.words import words
 
 WINDOW, STOP, RANK, SKETCH, BLOCK, GROUP = 64, 0.02, 232, 56, 200, 4000
 COSINE, MOST, PART, ANSWER = 0.55, 0.75, 0.55, 0.8
+SHORT = 8
 #: Word ids of a text handled at once, and the pieces in which term vectors are summed.
 IDS, PIECES = 1 << 18, 32
 _HALF = WINDOW // 2
@@ -332,6 +334,32 @@ def search(table: DataFrame, vocabulary: Vocabulary, weight: np.ndarray, space:
     return table.select("row", "ids").mapInArrow(run, FOUND)
 
 
+def exact(table: DataFrame, vocabulary: Vocabulary, items: list[Item]) -> DataFrame:
+    """FOUND: the first place of each of some items in the texts, word for word."""
+    kind, by_length = vocabulary.kind, {}
+    for item in items:
+        by_length.setdefault(len(item.ids), {}).setdefault(tuple(item.ids.tolist()), []).append(item.id)
+
+    def run(batches):
+        size = len(vocabulary.hashes) + 1
+        starts, ends = ({n: np.bincount([r[k] for r in runs], minlength=size) > 0 for n, runs in by_length.items()} for k in (0, -1))
+        for batch in batches:
+            for part, ids, first in _texts(batch, kind):
+                rows, out = part.column("row").to_pylist(), {}
+                for n, runs in by_length.items():
+                    at = np.flatnonzero(starts[n][ids[: max(0, len(ids) - n + 1)]] & ends[n][ids[n - 1 :]])
+                    doc = np.searchsorted(first, at, side="right") - 1
+                    inside = at + n <= first[doc + 1]
+                    for s, d in zip(at[inside].tolist(), doc[inside].tolist(), strict=True):
+                        for item in runs.get(tuple(ids[s : s + n].tolist()), ()):
+                            place = s - int(first[d])
+                            out.setdefault((d, item), (rows[d], item, 1.0, 1.0, 1.0, place, place + n))
+                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out.values()], t) for k, t in enumerate(kinds)], names=[f.split()[0] for f in FOUND.split(", ")])
+
+    return table.select("row", "ids").mapInArrow(run, FOUND)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", folder: str | None = None) -> DataFrame:
     """One row for each row of docs: key, contaminated, and leaks: an array of (item, cosine, lcs, answer, start, stop), by item, with
     word places in the text."""
@@ -345,9 +373,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
         if not items:
             continue
         table = stored(word_ids(docs, key, text, vocabulary), f"{folder}/ids{g}")
+        if short := [item for item in items if len(item.ids) < SHORT]:
+            hits = stored(exact(table, vocabulary, short), f"{folder}/exact{g}")
+            found = hits if found is None else found.unionByName(hits)
         df, n = frequencies(table, vocabulary)
-        parts = pieces(items)
         weight = weights(df, n, items)
+        items = [item for item in items if len(item.ids) >= SHORT]
+        parts = pieces(items)
         z = sketch(table, vocabulary, weight, SKETCH)
         for b in range(0, len(parts), BLOCK):
             block = parts[b : b + BLOCK]

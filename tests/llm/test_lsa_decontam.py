@@ -196,3 +196,23 @@ def test_a_stretch_of_more_words_does_not_hide_the_leak():
     common = np.tile([3, 2, 1], 20)  # more words of the item, but in no order
     got = d.fit(item, np.concatenate([leak, common]), 0, 112)
     assert got[:2] == (0.55, 1.0)
+
+
+def test_short_items_occur_word_for_word(spark, prose):
+    many = [f"word{i}" for i in range(3000)]
+    bench = [(i, prose(900 + i, 4 + i % 4, many)) for i in range(40)] + [(40 + i, prose(2000 + i, 50, many)) for i in range(80)] + [(200, "lonely"), (201, "lonely")]
+    plain = lambda t: t.replace(".", " ").lower().split()
+    docs = []
+    for k in range(400):
+        others = [" ".join(plain(bench[40 + (k + j) % 80][1])[10 * j % 30 :][:20]) for j in range(6)]  # words of weight all around
+        docs.append((k, " ".join([*others[:3], bench[k % 40][1].upper(), *others[3:]] + ["lonely"] * (k % 50 == 0))))
+    docs += [(1000 + i, " ".join(plain(t)[:-1])) for i, t in bench[:40]] + [(2000 + i, " ".join(plain(t)[1:])) for i, t in bench[:40]]
+    short = {i: plain(t) for i, t in bench if len(plain(t)) < 8}
+    want = {(k, i) for k, t in docs for i, w in short.items() if f" {' '.join(w)} " in f" {' '.join(plain(t))} "}
+    assert len(want) >= 400
+    out = d.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(r["doc_id"], x["item"]) for r in out for x in r["leaks"] if x["item"] in short} == want
+    text = dict(docs)
+    assert all(plain(text[r["doc_id"]])[x["start"] : x["stop"]] == short[x["item"]] for r in out for x in r["leaks"] if x["item"] in short)
+    alone = d.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([b for b in bench if b[0] in short], "item_id long, text string"))
+    assert {(r["doc_id"], x["item"]) for r in alone.collect() for x in r["leaks"]} == want
