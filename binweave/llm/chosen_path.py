@@ -2,8 +2,8 @@
 
 Recursion: a set goes to a bucket for each of its tokens that a hash shared by all sets chooses with probability 1/(0.8 * set size); a bucket
 of more than LIMIT sets splits again by further chosen tokens, down to DEPTH tokens; smaller ones are compared by brute force. Two sets
-of similarity 0.8 choose at least one common token in expectation at every level, so each run keeps them together with a known
-probability, and as many runs are made as bring their recall to TARGET. Every comparison is an exact set intersection.
+of similarity 0.8 choose at least one common token in expectation at every level (just one where one set holds the other), so each run
+keeps them together with a known probability or a higher one, and as many runs are made as bring their recall to TARGET. Every comparison is an exact set intersection.
 
 Texts with equal sets are one class, which takes part once. Buckets with the same members count as one. A pair is counted in the least
 of the buckets it shares, so that counts need no list of pairs. A bucket that is still large at the last level (one group of near
@@ -33,9 +33,10 @@ from binweave.llm.words import distinct, mix, shingles, words
 SIMILARITY, WIDTH, TARGET, DEPTH, LIMIT, BLOCK = 0.8, 5, 0.999, 3, 64, 1024
 
 
-def runs(similarity: float = SIMILARITY, target: float = TARGET, depth: int = DEPTH) -> int:
-    """Runs for the target recall: a pair's chance to share a path of depth tokens, as a branching process, is repeated."""
-    mean = 2 / (1 + similarity)  # common tokens over the size, by the chance 1 / (similarity * size)
+def runs(similarity: float = SIMILARITY, target: float = TARGET, depth: int = DEPTH, nested: bool = False) -> int:
+    """Runs for the target recall: a pair's chance to share a path of depth tokens, as a branching process, is repeated. nested: for
+    pairs of which one set holds the other, which share the fewest tokens for their larger set; else for sets of equal size."""
+    mean = 1.0 if nested else 2 / (1 + similarity)  # common tokens by the chance 1 / (similarity * larger size)
     stay = 1.0
     for _ in range(depth):
         stay = 1 - math.exp(-mean * stay)
@@ -54,7 +55,7 @@ def _children(key: np.ndarray, token: np.ndarray, size: np.ndarray, similarity:
 
 def sets(docs: DataFrame, key: str, text: str, width: int = WIDTH, similarity: float = SIMILARITY, count: int | None = None) -> DataFrame:
     """(row, id, sig, tokens, keys): each row's token set (sorted 32-bit), its 64-bit signature (null if empty), and the keys of its paths of one token."""
-    seeds = mix(np.arange(1, (count or runs(similarity)) + 1, dtype=np.uint64))
+    seeds = mix(np.arange(1, (count or runs(similarity, nested=True)) + 1, dtype=np.uint64))
     id_type = docs.schema[key].dataType
     schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", id_type), T.StructField("sig", T.LongType()), T.StructField("tokens", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
@@ -250,7 +251,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: f
     spark = docs.sparkSession
     bound_batches(spark)
     folder = folder or shared_dir(spark, "chosen-path")
-    table = stored(sets(docs, key, text, width, similarity, runs(similarity, target, depth)), f"{folder}/sets")
+    table = stored(sets(docs, key, text, width, similarity, runs(similarity, target, depth, nested=True)), f"{folder}/sets")
     rep = stored(table.where("sig is not null").groupBy("sig").agg(F.min("row").alias("row"), F.min("id").alias("copy_id"), F.count(F.lit(1)).alias("n_copies")), f"{folder}/classes")
     level = _shared(table.where("sig is not null").select(F.explode("keys").alias("key"), "sig"), f"{folder}/level1")
     found = level

@@ -134,3 +134,29 @@ def test_recall_of_one_run(prose):
             keys.append(set(c._children(np.full(n, t, np.uint64), x, np.full(n, n), 0.8)[1].tolist()))
         hits += bool(keys[0] & keys[1])
     assert 0.58 < hits / trials < 0.78
+
+
+def test_recall_of_a_set_within_another():
+    """Of a pair at 0.8 where one set holds the other, a run keeps the paths of DEPTH tokens as the worst case says, and the runs of
+    the join reach TARGET."""
+    rng = np.random.default_rng(3)
+    hits, trials = 0, 1500
+    for t in range(trials):
+        pool = rng.choice(2**32, 200, replace=False).astype(np.uint32)
+        paths = []
+        for x in (pool[:160], pool):
+            key = np.array([t], np.uint64)
+            for _ in range(c.DEPTH):
+                tokens, below = np.tile(x, len(key)), np.repeat(key, len(x))
+                key = np.unique(c._children(below, tokens, np.full(len(below), len(x)), 0.8)[1])
+            paths.append(set(key.tolist()))
+        hits += bool(paths[0] & paths[1])
+    stay = hits / trials
+    assert 0.33 < stay < 0.42
+    assert 1 - (1 - 0.374) ** c.runs(nested=True) >= c.TARGET > 1 - (1 - 0.374) ** c.runs()
+
+
+def test_the_join_makes_the_runs_of_the_worst_case(spark, prose):
+    got = c.sets(spark.createDataFrame([(1, prose(1, 300))], "doc_id long, text string"), "doc_id", "text")
+    want = c.sets(spark.createDataFrame([(1, prose(1, 300))], "doc_id long, text string"), "doc_id", "text", count=15)
+    assert got.first()["keys"] == want.first()["keys"]
