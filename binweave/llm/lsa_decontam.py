@@ -1,17 +1,20 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Texts become runs of word ids of the benchmark's vocabulary, stored once. Passages of WINDOW words are TF-IDF rows (document frequencies
-over all passages of the corpus; words in more than STOP of them weigh nothing, unless a benchmark item would have fewer than 3 weighted
-words). A single-pass randomised SVD (Nystroem, SKETCH columns) of all corpus passages, with the benchmark's own passages as further rows
-of the weight of the largest singular value, gives a latent space of RANK dimensions: tasks sum A'(A Omega), the driver solves the rest. Windows of
-each text, overlapping by half, whose cosine with a benchmark passage passes COSINE are candidates, all of them. A candidate is a leak if the
-longest common subsequence of words with the stretch of the text that best fits the item covers MOST of the item, or PART of it
-and ANSWER of its answer (its last sentence). Items of fewer than SHORT words must occur word for word, are found by exact matching of
-their ids in a scan of their own, and have a cosine of 1.
-
-The benchmark comes to the driver in groups of GROUP items, and each block of BLOCK passages has a latent space of its own, so neither
-is bounded by memory. Every row has a result; null texts and texts without words are clean; benchmark items that are null or have no words
-match nothing; repeated items all match, and repeated rows have a result each. An empty benchmark leaves all rows clean."""
+Texts become runs of word ids of the benchmark's vocabulary, stored once. Passages of WINDOW words are the rows of a TF-IDF matrix over that
+vocabulary (document frequencies over all passages of the corpus; words in more than STOP of them weigh nothing, unless a benchmark item
+would have fewer than 3 weighted words). A single-pass randomised SVD (sparse sign test matrix of SKETCH columns, Nystroem's
+approximation) of all passages gives the corpus's RANK leading latent dimensions, each divided by its singular value: tasks sum
+A'(A Omega), the driver solves the rest. One space serves all items. Windows of each text, overlapping by half, whose cosine with a passage
+of an item in that space passes COSINE are candidates, all of them. A candidate whose longest common subsequence of words with all text near the window
+is too short cannot be a leak and goes; any other is one if the longest common subsequence with the stretch that best fits the
+item covers MOST of the item, or PART of it and ANSWER of its answer (its last sentence). Items of fewer than SHORT words
+must occur word for word, are found by exact matching of their ids in a scan of their own, and have a cosine of 1.
+
+The benchmark is read in groups of GROUP items, each with one pass of the corpus, so memory is bounded whatever its size. Texts are told
+apart by two 64-bit hashes, so equal texts have equal results, however often and in whatever order docs is read. Every row has a result; null texts
+and texts without words are clean; benchmark items that are null or have no words match nothing; repeated items all match under their own
+ids (of any type that can be ordered; items of equal id count as one), and repeated rows have a result each. An empty benchmark leaves all rows clean; extra
+columns of docs, whatever their names, are not read."""
 
 from __future__ import annotations
 
@@ -24,15 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from binweave.llm._common import SLICE_BYTES, bound_batches, delete, row_key, shared_dir, slices, stored, utf8, without
 from binweave.llm.words import words
 
-WINDOW, STOP, RANK, SKETCH, BLOCK, GROUP = 64, 0.02, 232, 56, 200, 4000
-COSINE, MOST, PART, ANSWER = 0.55, 0.75, 0.55, 0.8
+WINDOW, STOP, RANK, SKETCH, GROUP = 48, 0.05, 256, 288, 8000
+COSINE, MOST, PART, ANSWER = 0.25, 0.75, 0.55, 0.8
 SHORT = 8
+#: Non-zero entries of the test matrix for each term; share of the mean squared singular value that keeps small ones from being blown up.
+SIGNS, RIDGE = 8, 0.01
 #: Word ids of a text handled at once, and the pieces in which term vectors are summed.
 IDS, PIECES = 1 << 18, 32
+#: Entries of the matrix, and candidates, handled at once, so that temporary arrays stay near the processor.
+ENTRIES, CANDIDATES = 1 << 12, 1 << 12
 _HALF = WINDOW // 2
 
 
@@ -64,7 +72,7 @@ class Vocabulary:
 class Item:
     """A benchmark item as word ids, and the ids of its answer."""
 
-    id: int
+    id: object
     ids: np.ndarray
     answer: np.ndarray
 
@@ -126,8 +134,8 @@ def _texts(batch: pa.RecordBatch, kind: type) -> Iterator[tuple[pa.RecordBatch,
 
 
 def word_ids(docs: DataFrame, key: str, text: str, vocabulary: Vocabulary) -> DataFrame:
-    """(row, id, ids): the texts as binary runs of ids."""
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", docs.schema[key].dataType), T.StructField("ids", T.BinaryType())])
+    """(h1, h2, id, ids): the texts as binary runs of ids, with two hashes that tell texts apart."""
+    schema = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("id", docs.schema[key].dataType), T.StructField("ids", T.BinaryType())])
 
     def run(batches):
         for batch in batches:
@@ -135,9 +143,10 @@ def word_ids(docs: DataFrame, key: str, text: str, vocabulary: Vocabulary) -> Da
                 w = words(*utf8(part.column("text")))
                 ids = vocabulary.ids(w.hash)
                 raw = [ids[a:b].tobytes() for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("id"), pa.array(raw, pa.binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("h1", "h2", "id")], pa.array(raw, pa.binary())], names=schema.names)
 
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, schema)
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    return docs.select(F.xxhash64(body).alias("h1"), F.xxhash64(F.lit("second"), body).alias("h2"), F.col(f"`{key}`").alias("id"), body.alias("text")).mapInArrow(run, schema)
 
 
 def frequencies(table: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
@@ -171,15 +180,23 @@ def weights(df: np.ndarray, n: int, items: list[Item]) -> np.ndarray:
     return np.where(stop, 0, idf)
 
 
-def _products(passage: np.ndarray, term: np.ndarray, x: np.ndarray, omega: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def sign_matrix(size: int, columns: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Omega as the columns (size x SIGNS) of each row's entries and their signs."""
+    rng = np.random.default_rng(seed)
+    return rng.integers(0, columns, (size, SIGNS)), np.where(rng.random((size, SIGNS)) < 0.5, -1, 1).astype(np.float32)
+
+
+def _products(passage: np.ndarray, term: np.ndarray, x: np.ndarray, omega: tuple[np.ndarray, np.ndarray], columns: int) -> tuple[np.ndarray, np.ndarray]:
     """Terms and their rows of A'(A omega) for the entries of some passages, sorted by passage."""
-    new = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
-    y = np.add.reduceat(omega[term] * x[:, None], new)
-    at = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(passage))))
+    at = passage - passage[0]
+    n = int(at[-1]) + 1
+    y = np.bincount((at[:, None] * columns + omega[0][term]).ravel(), (omega[1][term] * x[:, None]).ravel(), n * columns).reshape(n, columns).astype(np.float32)
     order = np.argsort(term, kind="stable")
-    term, at, x = term[order], at[order], x[order]
+    term = term[order]
+    rows = y[at[order]]
+    rows *= x[order, None]
     new = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
-    return term[new], np.add.reduceat(y[at] * x[:, None], new)
+    return term[new], np.add.reduceat(rows, new)
 
 
 def sketch(table: DataFrame, vocabulary: Vocabulary, weight: np.ndarray, columns: int, seed: int = 11) -> np.ndarray:
@@ -188,19 +205,19 @@ def sketch(table: DataFrame, vocabulary: Vocabulary, weight: np.ndarray, columns
     cut = np.linspace(0, size, PIECES + 1).astype(int)
 
     def partial(batches):
-        omega = _omega(size, columns, seed)
+        omega = sign_matrix(size, columns, seed)
         z = np.zeros((size, columns), np.float32)
         for batch in batches:
             for _, ids, first in _texts(batch, kind):
                 passage, term, _ = passages(ids, first, WINDOW, used)
                 x = weight[term]
                 x = (x / np.sqrt(np.bincount(passage, x * x))[passage] if len(x) else x).astype(np.float32)  # rows of length 1
-                for a in range(0, len(x), 1 << 14):
-                    b = min(a + (1 << 14), len(x))
+                for a in range(0, len(x), ENTRIES):
+                    b = min(a + ENTRIES, len(x))
                     a = a if not a else int(np.searchsorted(passage, passage[a]))
                     b = b if b == len(x) else int(np.searchsorted(passage, passage[b]))
                     if a < b:
-                        t, rows = _products(passage[a:b], term[a:b], x[a:b], omega)
+                        t, rows = _products(passage[a:b], term[a:b], x[a:b], omega, columns)
                         z[t] += rows
         yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([z[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["piece", "z"])
 
@@ -213,28 +230,33 @@ def sketch(table: DataFrame, vocabulary: Vocabulary, weight: np.ndarray, columns
 
     spark = table.sparkSession
     parts = table.select("ids").coalesce(2 * spark.sparkContext.defaultParallelism).mapInArrow(partial, "piece int, z binary")
-    z = np.zeros((size, columns))
+    z = np.zeros((size, columns), np.float32)
     for k, raw in parts.repartition(PIECES, "piece").mapInArrow(total, "piece int, z binary").collect():
         z[cut[k] : cut[k + 1]] = np.frombuffer(raw, np.float32).reshape(-1, columns)
     return z
 
 
-def _omega(size: int, columns: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((size, columns), dtype=np.float32)
-
-
-def latent_space(z: np.ndarray, own: np.ndarray, rank: int = RANK, seed: int = 11) -> np.ndarray:
-    """Leading right singular vectors (terms x rank) of the corpus (z = A'A Omega) with the rows own as heavy as its largest one: the
-    corpus by Nystroem's approximation from its sketch, then all exactly in the span of both."""
-    omega = _omega(*z.shape, seed).astype(np.float64)
-    shift = max(1e-7 * float(np.linalg.norm(z, 2)), 1e-9)
-    y = z + shift * omega
-    value, vector = np.linalg.eigh((omega.T @ y + y.T @ omega) / 2)
-    good = value > max(value[-1], 0) * 1e-10
+def latent_space(z: np.ndarray, rank: int = RANK, seed: int = 11) -> np.ndarray:
+    """(terms x rank): leading right singular vectors of the matrix whose sketch is z = A'A Omega, by Nystroem's approximation, each
+    divided by its singular value (with a ridge)."""
+    size, columns = z.shape
+    place, sign = sign_matrix(size, columns, seed)
+    shift = max(1e-6 * float(np.linalg.norm(z)), 1e-9)
+    y = z.astype(np.float64)
+    for k in range(SIGNS):
+        np.add.at(y, (np.arange(size), place[:, k]), shift * sign[:, k])  # of A'A + shift, to be definite
+    core = np.zeros((columns, columns))
+    for a in range(0, size, 4096):
+        for k in range(SIGNS):
+            np.add.at(core, place[a : a + 4096, k], sign[a : a + 4096, k, None] * y[a : a + 4096])
+    value, vector = np.linalg.eigh((core + core.T) / 2)
+    good = value > max(value[-1], 0) * 1e-8
     half = y @ (vector[:, good] / np.sqrt(value[good]))  # A'A is about half half'
-    heavy = max(float(np.linalg.norm(half, 2)), 1.0) if half.size else 1.0
-    u, s, _ = np.linalg.svd(np.concatenate([half, heavy * own.T], axis=1), full_matrices=False)
-    return u[:, : min(rank, int((s > s[0] * 1e-6).sum()))].astype(np.float32)
+    square, turn = np.linalg.eigh(half.T @ half)
+    lead = [k for k in np.argsort(-square)[:rank].tolist() if square[k] > max(1e-8 * square[-1], 2 * shift)]
+    if not lead:
+        return np.zeros((size, 0), np.float32)
+    return (half @ (turn[:, lead] / np.sqrt(square[lead] * (square[lead] + RIDGE * square[lead].mean())))).astype(np.float32)
 
 
 def longest_common(a: np.ndarray, b: np.ndarray) -> int:
@@ -254,12 +276,12 @@ def longest_common(a: np.ndarray, b: np.ndarray) -> int:
 def fit(item: Item, text: np.ndarray, start: int, stop: int) -> tuple[float, float, int, int] | None:
     """(share of the item, share of its answer, first and end word) of the best of all stretches of text near [start, stop) that are leaks."""
     n = len(item.ids)
-    length = n if n < 8 else int(1.25 * n) + 2
+    length = n if n < SHORT else int(1.25 * n) + 2
     a, b = max(0, start - n), min(len(text), stop + n)
     near = text[a:b]
     inside = np.concatenate([[0], np.cumsum(np.isin(near, item.ids))])
     length = min(length, len(near))
-    if n < 8:
+    if n < SHORT:
         hits = [s for s in range(len(near) - n + 1) if (near[s : s + n] == item.ids).all()]
         return (1.0, 1.0, a + hits[0], a + hits[0] + n) if hits else None
     many = inside[length:] - inside[: len(inside) - length]
@@ -281,61 +303,134 @@ def fit(item: Item, text: np.ndarray, start: int, stop: int) -> tuple[float, flo
     return (best[0] / n, best[1], a + best[2], a + best[2] + length) if best else None
 
 
-FOUND = "row long, item long, cosine double, lcs double, answer double, start long, stop long"
+def _found_type(kind: T.DataType) -> T.StructType:
+    """Of leaks: the text's hashes, the item's id, cosine, shares of item and answer, and word places."""
+    return T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("item", kind), *[T.StructField(c, T.DoubleType()) for c in ("cosine", "lcs", "answer")], *[T.StructField(c, T.LongType()) for c in ("start", "stop")]])
 
 
-def search(table: DataFrame, vocabulary: Vocabulary, weight: np.ndarray, space: np.ndarray, items: list[Item], parts: list[tuple[int, np.ndarray]]) -> DataFrame:
-    """FOUND: leaks of items in the texts, by cosine of the items' parts with windows, and then fit()."""
-    kind, used = vocabulary.kind, np.append(False, weight > 0)
+def _found(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], to_arrow_type(f.dataType)) for k, f in enumerate(schema.fields)], names=schema.names)
+
+
+def _masks(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """For each 64 words of an item: its distinct ids, bits of the places of each, and how many words."""
+    out = []
+    for a in range(0, len(ids), 64):
+        part = ids[a : a + 64]
+        distinct, which = np.unique(part, return_inverse=True)
+        bits = np.zeros(len(distinct), np.uint64)
+        np.bitwise_or.at(bits, which, np.uint64(1) << np.arange(len(part), dtype=np.uint64))
+        out.append((distinct, bits, len(part)))
+    return out
+
+
+def most_in_common(near: np.ndarray, owner: np.ndarray, masks: list[list[tuple]]) -> np.ndarray:
+    """For each row of near (word ids, 0 for none) a number that the longest common subsequence with its owner's words does not pass; the
+    length itself for owners of up to 64 words. Owners come in order. Bit-parallel, all rows at once."""
+    total = np.zeros(len(near), np.int64)
+    run = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    end = np.append(run[1:], len(owner))
+    for c in range(max(len(masks[i]) for i in owner[run].tolist())):
+        bits = np.zeros(near.shape, np.uint64)
+        n = np.zeros(len(near), np.uint64)
+        for a, b, i in zip(run.tolist(), end.tolist(), owner[run].tolist(), strict=True):
+            if c < len(masks[i]):
+                distinct, bit, n[a:b] = masks[i][c]
+                at = np.minimum(np.searchsorted(distinct, near[a:b]), len(distinct) - 1)
+                bits[a:b] = np.where(distinct[at] == near[a:b], bit[at], np.uint64(0))
+        row = np.full(len(near), ~np.uint64(0))
+        for column in np.ascontiguousarray(bits.T):
+            u = row & column
+            row = (row + u) | (row - u)
+        full = np.where(n == 64, ~np.uint64(0), (np.uint64(1) << np.minimum(n, np.uint64(63))) - np.uint64(1))
+        total += np.bitwise_count(~row & full).astype(np.int64)
+    return total
+
+
+def targets(weight: np.ndarray, space: np.ndarray, parts: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(terms x rank) what a term adds to a passage's vector, and (rank x parts) the unit vectors of items' parts."""
     mapped = (space * weight[:, None]).astype(np.float32)
-    target = np.stack([mapped[np.unique(ids).astype(np.int64) - 1].sum(0) for _, ids in parts])
-    target /= np.maximum(np.linalg.norm(target, axis=1, keepdims=True), 1e-9)
-    owner = np.array([i for i, _ in parts])
-    target = np.ascontiguousarray(target.T)
+    out = np.stack([mapped[np.unique(ids).astype(np.int64) - 1].sum(0) for _, ids in parts])
+    return mapped, np.ascontiguousarray((out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).T)
+
+
+def candidates(ids: np.ndarray, first: np.ndarray, used: np.ndarray, mapped: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows (as the number of their first half among those of all texts), parts and cosines above COSINE; and the texts' first halves."""
+    passage, term, begin = passages(ids, first, _HALF, used)
+    half = np.zeros((int(begin[-1]) + 1, mapped.shape[1]), np.float32)
+    for a in range(0, len(term), ENTRIES):
+        p, t = passage[a : a + ENTRIES], term[a : a + ENTRIES]
+        new = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+        half[p[new]] += np.add.reduceat(mapped[t], new)
+    last = np.zeros(len(half), bool)
+    last[begin[1:][np.diff(begin) > 0] - 1] = True
+    window, part, value = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+    step = max(32, (1 << 18) // max(target.shape[1], 1))
+    for a in range(0, int(begin[-1]), step):
+        b = min(a + step, int(begin[-1]))
+        y = half[a:b].copy()
+        y[~last[a:b]] += half[a + 1 : b + 1][~last[a:b]]
+        length = np.maximum(np.sqrt(np.einsum("ij,ij->i", y, y)), 1e-9)
+        cosine = y @ target
+        k, i = np.nonzero(cosine > COSINE * length[:, None])
+        window.append(a + k)
+        part.append(i)
+        value.append(cosine[k, i] / length[k])
+    return np.concatenate(window), np.concatenate(part), np.concatenate(value), begin
+
+
+def _possible(ids: np.ndarray, first: np.ndarray, doc: np.ndarray, start: np.ndarray, owner: np.ndarray, size: np.ndarray, masks: list[list[tuple]]) -> np.ndarray:
+    """Which candidates have enough in common with all text that fit() would look at."""
+    out = np.zeros(len(doc), bool)
+    order = np.lexsort((owner, size[owner]))  # rows of like width together
+    for k in range(0, len(order), CANDIDATES):
+        at = order[k : k + CANDIDATES]
+        at = at[np.argsort(owner[at], kind="stable")]
+        n = size[owner[at]]
+        low, high = np.maximum(start[at] - n, 0), np.minimum(start[at] + WINDOW + n, (first[1:] - first[:-1])[doc[at]])
+        place = low[:, None] + np.arange(int((high - low).max()))
+        near = np.where(place < high[:, None], ids[np.minimum(first[doc[at]][:, None] + place, len(ids) - 1)], 0)
+        out[at] = most_in_common(near, owner[at], masks) >= PART * n
+    return out
+
+
+def search(table: DataFrame, vocabulary: Vocabulary, weight: np.ndarray, space: np.ndarray, items: list[Item], parts: list[tuple[int, np.ndarray]], schema: T.StructType) -> DataFrame:
+    """Leaks of items in the texts: by cosine of the items' parts with windows, then by what they have in common, and then by fit()."""
+    kind, used = vocabulary.kind, np.append(False, weight > 0)
+    mapped, target = targets(weight, space, parts)
+    owner, size = np.array([i for i, _ in parts]), np.array([len(x.ids) for x in items])
 
     def run(batches):
+        masks = [_masks(x.ids) for x in items]
         for batch in batches:
             for part, ids, first in _texts(batch, kind):
-                rows = part.column("row").to_pylist()
-                out = []
-                passage, term, begin = passages(ids, first, _HALF, used)
-                half = np.zeros((int(begin[-1]) + 1, mapped.shape[1]), np.float32)
-                for a in range(0, len(term), 1 << 12):  # small enough for the processor's cache
-                    p, t = passage[a : a + (1 << 12)], term[a : a + (1 << 12)]
-                    new = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
-                    half[p[new]] += np.add.reduceat(mapped[t], new)
-                last = np.zeros(len(half), bool)
-                last[begin[1:][np.diff(begin) > 0] - 1] = True
-                doc = np.repeat(np.arange(len(rows)), np.diff(begin))
+                h1, h2 = part.column("h1").to_pylist(), part.column("h2").to_pylist()
+                window, which, cosine, begin = candidates(ids, first, used, mapped, target)
+                doc = np.searchsorted(begin, window, side="right") - 1
+                start = (window - begin[doc]) * _HALF
+                good = np.flatnonzero(_possible(ids, first, doc, start, owner[which], size, masks))
                 hits: dict[tuple[int, int], list[tuple[float, int]]] = {}
-                for a in range(0, int(begin[-1]), 1024):
-                    b = min(a + 1024, int(begin[-1]))
-                    y = half[a:b].copy()
-                    y[~last[a:b]] += half[a + 1 : b + 1][~last[a:b]]
-                    length = np.sqrt(np.einsum("ij,ij->i", y, y))
-                    cosine = y @ target
-                    for k, i in zip(*(x.tolist() for x in np.nonzero(cosine > COSINE * np.maximum(length, 1e-9)[:, None])), strict=True):
-                        hits.setdefault((int(doc[a + k]), int(owner[i])), []).append((float(cosine[k, i] / length[k]), a + k))
+                for d, i, c, s in zip(doc[good].tolist(), owner[which[good]].tolist(), cosine[good].tolist(), start[good].tolist(), strict=True):
+                    hits.setdefault((d, i), []).append((c, s))
+                out = []
                 for (d, i), windows in hits.items():
                     text = ids[first[d] : first[d + 1]]
                     best = None
-                    for cosine, window in sorted(windows, reverse=True):
-                        start = (window - int(begin[d])) * _HALF
-                        got = fit(items[i], text, start, start + WINDOW)
+                    for c, s in sorted(windows, reverse=True):
+                        got = fit(items[i], text, s, s + WINDOW)
                         if got and (best is None or got[:2] > best[1][:2]):
-                            best = (cosine, got)
+                            best = (c, got)
                             if got[0] == 1:
                                 break
                     if best:
-                        out.append((rows[d], items[i].id, best[0], *best[1]))
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=[f.split()[0] for f in FOUND.split(", ")])
+                        out.append((h1[d], h2[d], items[i].id, best[0], *best[1]))
+                yield _found(out, schema)
 
-    return table.select("row", "ids").mapInArrow(run, FOUND)
+    return table.select("h1", "h2", "ids").mapInArrow(run, schema)
 
 
-def exact(table: DataFrame, vocabulary: Vocabulary, items: list[Item]) -> DataFrame:
-    """FOUND: the first place of each of some items in the texts, word for word."""
+def exact(table: DataFrame, vocabulary: Vocabulary, items: list[Item], schema: T.StructType) -> DataFrame:
+    """The first place of each of some items in the texts, word for word."""
     kind, by_length = vocabulary.kind, {}
     for item in items:
         by_length.setdefault(len(item.ids), {}).setdefault(tuple(item.ids.tolist()), []).append(item.id)
@@ -345,7 +440,7 @@ def exact(table: DataFrame, vocabulary: Vocabulary, items: list[Item]) -> DataFr
         starts, ends = ({n: np.bincount([r[k] for r in runs], minlength=size) > 0 for n, runs in by_length.items()} for k in (0, -1))
         for batch in batches:
             for part, ids, first in _texts(batch, kind):
-                rows, out = part.column("row").to_pylist(), {}
+                h1, h2, out = part.column("h1").to_pylist(), part.column("h2").to_pylist(), {}
                 for n, runs in by_length.items():
                     at = np.flatnonzero(starts[n][ids[: max(0, len(ids) - n + 1)]] & ends[n][ids[n - 1 :]])
                     doc = np.searchsorted(first, at, side="right") - 1
@@ -353,11 +448,10 @@ def exact(table: DataFrame, vocabulary: Vocabulary, items: list[Item]) -> DataFr
                     for s, d in zip(at[inside].tolist(), doc[inside].tolist(), strict=True):
                         for item in runs.get(tuple(ids[s : s + n].tolist()), ()):
                             place = s - int(first[d])
-                            out.setdefault((d, item), (rows[d], item, 1.0, 1.0, 1.0, place, place + n))
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out.values()], t) for k, t in enumerate(kinds)], names=[f.split()[0] for f in FOUND.split(", ")])
+                            out.setdefault((d, item), (h1[d], h2[d], item, 1.0, 1.0, 1.0, place, place + n))
+                yield _found(list(out.values()), schema)
 
-    return table.select("row", "ids").mapInArrow(run, FOUND)
+    return table.select("h1", "h2", "ids").mapInArrow(run, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", folder: str | None = None) -> DataFrame:
@@ -366,43 +460,37 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     spark = docs.sparkSession
     bound_batches(spark)
     folder = folder or shared_dir(spark, "decontaminate")
-    todo = benchmark.select(F.col(item).cast("long"), F.col(item_text)).where(F.col(item_text).isNotNull()).orderBy(item, item_text).toLocalIterator()
-    found, table, g = None, None, 0
+    schema = _found_type(benchmark.schema[item].dataType)
+    todo = benchmark.select(F.col(f"`{item}`").alias("id"), F.col(f"`{item_text}`").alias("text")).where(F.col("text").isNotNull()).orderBy("id", "text").toLocalIterator()
+    found, rows, g = None, None, 0
     while group := list(islice(todo, GROUP)):
         items, vocabulary = benchmark_items([tuple(r) for r in group])
         if not items:
             continue
         table = stored(word_ids(docs, key, text, vocabulary), f"{folder}/ids{g}")
-        if short := [item for item in items if len(item.ids) < SHORT]:
-            hits = stored(exact(table, vocabulary, short), f"{folder}/exact{g}")
-            found = hits if found is None else found.unionByName(hits)
+        hits = []
+        if short := [x for x in items if len(x.ids) < SHORT]:
+            hits.append(stored(exact(table, vocabulary, short, schema), f"{folder}/exact{g}"))
         df, n = frequencies(table, vocabulary)
         weight = weights(df, n, items)
-        items = [item for item in items if len(item.ids) >= SHORT]
-        parts = pieces(items)
-        z = sketch(table, vocabulary, weight, SKETCH)
-        for b in range(0, len(parts), BLOCK):
-            block = parts[b : b + BLOCK]
-            own = np.zeros((len(block), len(weight)))
-            for k, (_, ids) in enumerate(block):
-                term = np.unique(ids).astype(np.int64) - 1
-                own[k, term] = weight[term]
-            own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
-            space = latent_space(z, own)
-            if not space.shape[1]:
-                continue
-            hits = stored(search(table, vocabulary, weight, space, items, block), f"{folder}/found{g}-{b}")
-            found = hits if found is None else found.unionByName(hits)
-        narrow = stored(table.select("row", "id"), f"{folder}/rows{g}")
+        items = [x for x in items if len(x.ids) >= SHORT]
+        space = latent_space(sketch(table, vocabulary, weight, SKETCH)) if items else np.zeros((0, 0), np.float32)
+        if space.shape[1]:
+            hits.append(stored(search(table, vocabulary, weight, space, items, pieces(items), schema), f"{folder}/found{g}"))
+        for h in hits:
+            found = h if found is None else found.unionByName(h)
+        if rows is None:
+            rows = stored(table.select("h1", "h2", "id"), f"{folder}/rows")
         delete(spark, f"{folder}/ids{g}")
-        table, g = narrow, g + 1
-    leak = "array<struct<item:bigint,cosine:double,lcs:double,answer:double,start:bigint,stop:bigint>>"
+        g += 1
+    of_item = T.ArrayType(T.StructType([f for f in schema.fields if f.name not in ("h1", "h2")]))
+    none = F.array().cast(of_item)
     if found is None:
-        return docs.select(F.col(f"`{key}`").alias(key), F.lit(False).alias("contaminated"), F.array().cast(leak).alias("leaks"))
-    best = found.groupBy("row", "item").agg(F.max_by(F.struct("item", "cosine", "lcs", "answer", "start", "stop"), F.struct("lcs", "answer", "cosine")).alias("leak"))
-    per_row = best.groupBy("row").agg(F.sort_array(F.collect_list("leak")).alias("leaks"))
-    out = table.join(per_row, "row", "left")
-    return out.select(F.col("id").alias(key), F.col("leaks").isNotNull().alias("contaminated"), F.coalesce("leaks", F.array().cast(leak)).alias("leaks"))
+        return docs.select(F.col(f"`{key}`").alias(key), F.lit(False).alias("contaminated"), none.alias("leaks"))
+    best = found.groupBy("h1", "h2", "item").agg(F.max_by(F.struct(*of_item.elementType.names), F.struct("lcs", "answer", "cosine", "start")).alias("leak"))
+    per_text = stored(best.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("leak")).alias("leaks")), f"{folder}/leaks")
+    out = rows.join(per_text, ["h1", "h2"], "left")
+    return out.select(F.col("id").alias(key), F.col("leaks").isNotNull().alias("contaminated"), F.coalesce("leaks", none).alias("leaks"))
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:

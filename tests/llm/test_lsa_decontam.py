@@ -54,15 +54,26 @@ def test_vocabulary():
 
 def test_latent_space_is_that_of_an_exact_svd():
     rng = np.random.default_rng(0)
-    a = rng.normal(size=(400, 12)) * np.linspace(9, 0.05, 12) @ np.linalg.qr(rng.normal(size=(80, 12)))[0].T
-    own = np.linalg.qr(rng.normal(size=(80, 5)))[0].T
-    z = a.T @ (a @ d._omega(80, 40, 11).astype(float))
-    space = d.latent_space(z, own, rank=9).astype(float)
-    heavy = np.linalg.norm(a, 2)
-    _, _, v = np.linalg.svd(np.concatenate([a, heavy * own]), full_matrices=False)
-    assert np.linalg.norm(space.T @ space - np.eye(9)) < 1e-5
-    angle = np.linalg.svd(space.T @ v[:9].T, compute_uv=False)
-    assert angle.min() > 0.99
+    a = rng.normal(size=(400, 12)) * np.linspace(9, 3, 12) @ np.linalg.qr(rng.normal(size=(80, 12)))[0].T
+    place, sign = d.sign_matrix(80, 40)
+    omega = np.zeros((80, 40))
+    np.add.at(omega, (np.arange(80)[:, None], place), sign)
+    z = (a.T @ (a @ omega)).astype(np.float32)
+    space = d.latent_space(z, rank=9).astype(float)
+    _, value, v = np.linalg.svd(a, full_matrices=False)
+    want = v[:9].T / np.sqrt(value[:9] ** 2 + d.RIDGE * (value[:9] ** 2).mean())
+    assert np.abs(np.abs((space / np.linalg.norm(space, axis=0) * v[:9].T).sum(0)) - 1).max() < 1e-3
+    assert np.abs(np.linalg.norm(space, axis=0) / np.linalg.norm(want, axis=0) - 1).max() < 1e-2
+    assert d.latent_space(np.zeros((80, 40), np.float32)).shape[1] == 0
+
+
+@given(st.lists(st.integers(1, 9), min_size=1, max_size=150), st.lists(st.integers(0, 9), min_size=1, max_size=70), st.lists(st.integers(1, 9), min_size=1, max_size=60))
+def test_nothing_in_common_passes_the_bound(long, near, short):
+    masks = [d._masks(np.array(x, np.uint16)) for x in (long, short)]
+    got = d.most_in_common(np.array([near, near[::-1], near], np.uint16), np.array([0, 0, 1]), masks)
+    assert got[0] >= table(long, near)
+    assert got[1] >= table(long, near[::-1])
+    assert got[2] == table(short, near)
 
 
 def corpus(prose, seed=4):
@@ -98,15 +109,77 @@ def test_planted_leaks_and_no_others(spark, prose):
             assert x["lcs"] >= d.PART
 
 
-def test_blocks_and_groups_change_nothing(spark, prose, monkeypatch):
+def test_groups_change_nothing(spark, prose, monkeypatch):
     docs, bench, leaks = corpus(prose)
-    monkeypatch.setattr(d, "BLOCK", 9)
     monkeypatch.setattr(d, "GROUP", 20)
-    out = d.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
-    assert {(r["doc_id"], x["item"]) for r in out for x in r["leaks"]} >= leaks - {(k, i) for k, i in leaks if i == 5}
+    out = d.decontaminate(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(r["doc_id"], x["item"]) for r in out for x in r["leaks"]} == leaks
     assert len(out) == len(docs)
 
 
+def test_ids_of_items_may_be_text(spark, prose):
+    bench = spark.createDataFrame([("a", prose(1, 30)), ("b", prose(2, 30)), ("c", "just four words here")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, prose(9, 60) + " " + prose(1, 30)), (2, prose(2, 30)), (3, "x just four words here"), (4, prose(5, 80))], "doc_id long, text string")
+    got = {r["doc_id"]: [x["item"] for x in r["leaks"]] for r in d.decontaminate(docs, bench).collect()}
+    assert got == {1: ["a"], 2: ["b"], 3: ["c"], 4: []}
+
+
+def space_of(ids, first, items, size):
+    """The stages between ids and windows, in memory: used terms, weights, and the sketch."""
+    passage, term, begin = d.passages(ids, first, d.WINDOW)
+    weight = d.weights(np.bincount(term, minlength=size), int(begin[-1]), items)
+    used = np.append(False, weight > 0)
+    passage, term, _ = d.passages(ids, first, d.WINDOW, used)
+    x = weight[term]
+    x = (x / np.sqrt(np.bincount(passage, x * x))[passage]).astype(np.float32)
+    t, rows = d._products(passage, term, x, d.sign_matrix(size, d.SKETCH), d.SKETCH)
+    z = np.zeros((size, d.SKETCH), np.float32)
+    z[t] = rows
+    return used, weight, z
+
+
+def test_recall_against_brute_force_over_all_windows():
+    """Paraphrases with a third of the words replaced, in the given documents: every place that fit() accepts, searched one by one, against
+    the candidates of the corpus's latent space; and without the corpus there are none."""
+    import pyarrow.parquet as pq
+
+    sf = "/root/testdata/sf0.1"
+    bench = pq.read_table(f"{sf}/benchmark.parquet")
+    items, voc = d.benchmark_items(list(zip(bench["item_id"].to_pylist(), bench["text"].to_pylist(), strict=True)))
+    w = words(*utf8(pq.read_table(f"{sf}/documents.parquet")["text"].combine_chunks()))
+    base, rng = voc.ids(w.hash), np.random.default_rng(3)
+    texts, planted = [], []
+    for i in range(300):
+        ids = items[i % len(items)].ids.copy()
+        at = rng.random(len(ids)) < 1 / 3
+        ids[at] = base[rng.integers(0, len(base), at.sum())]
+        a = int(rng.integers(0, len(base) - 300))
+        texts.append(np.concatenate([base[a : a + 50 + i % 24], ids, base[a + 150 : a + 220]]))
+        planted.append(i % len(items))
+    ids = np.concatenate([base, *texts])
+    first = np.concatenate([w.first, len(base) + np.cumsum([len(t) for t in texts])])
+    size = len(voc.hashes)
+    used, weight, z = space_of(ids, first, items, size)
+    parts = d.pieces(items)
+    owner = np.array([i for i, _ in parts])
+    mapped, target = d.targets(weight, d.latent_space(z), parts)
+    own = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    window, which, _, begin = d.candidates(np.concatenate(texts), own, used, mapped, target)
+    doc = np.searchsorted(begin, window, side="right") - 1
+    found = set(zip(doc.tolist(), owner[which].tolist(), ((window - begin[doc]) * d._HALF).tolist(), strict=True))
+    real = [k for k, i in enumerate(planted) if d.fit(items[i], texts[k], 0, len(texts[k]))]
+    got = [k for k in real if any(d.fit(items[planted[k]], texts[k], s, s + d.WINDOW) for doc_, i, s in found if (doc_, i) == (k, planted[k]))]
+    assert len(real) > 60
+    assert len(got) >= 0.9 * len(real)
+    chosen = d._possible(np.concatenate(texts), own, doc, (window - begin[doc]) * d._HALF, owner[which], np.array([len(x.ids) for x in items]), [d._masks(x.ids) for x in items])
+    left = set(zip(doc[chosen].tolist(), owner[which[chosen]].tolist(), strict=True))
+    assert {(k, planted[k]) for k in got} <= left
+    assert d.latent_space(np.zeros_like(z)).shape[1] == 0  # no corpus, no space, no candidate
+    other = np.random.default_rng(5).permutation(z)  # a corpus with other co-occurrences has other candidates
+    again = d.candidates(np.concatenate(texts), own, used, *d.targets(weight, d.latent_space(other), parts))
+    assert set(zip(again[0].tolist(), again[1].tolist(), strict=True)) != set(zip(window.tolist(), which.tolist(), strict=True))
+
+
 def test_whole_test_table(spark):
     from collections import defaultdict
 
