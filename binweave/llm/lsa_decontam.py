@@ -39,8 +39,8 @@ SHORT = 8
 SIGNS, RIDGE = 8, 0.01
 #: Word ids of a text handled at once, and the pieces in which term vectors are summed.
 IDS, PIECES = 1 << 18, 32
-#: Entries of the matrix, and candidates, handled at once, so that temporary arrays stay near the processor.
-ENTRIES, CANDIDATES = 1 << 12, 1 << 12
+#: Entries of the matrix, terms of windows and candidates handled at once, so that temporary arrays stay near the processor.
+ENTRIES, TERMS, CANDIDATES = 1 << 12, 1 << 9, 1 << 12
 _HALF = WINDOW // 2
 
 
@@ -358,8 +358,8 @@ def candidates(ids: np.ndarray, first: np.ndarray, used: np.ndarray, mapped: np.
     """Windows (as the number of their first half among those of all texts), parts and cosines above COSINE; and the texts' first halves."""
     passage, term, begin = passages(ids, first, _HALF, used)
     half = np.zeros((int(begin[-1]) + 1, mapped.shape[1]), np.float32)
-    for a in range(0, len(term), ENTRIES):
-        p, t = passage[a : a + ENTRIES], term[a : a + ENTRIES]
+    for a in range(0, len(term), TERMS):
+        p, t = passage[a : a + TERMS], term[a : a + TERMS]
         new = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
         half[p[new]] += np.add.reduceat(mapped[t], new)
     last = np.zeros(len(half), bool)
