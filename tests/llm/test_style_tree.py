@@ -1,7 +1,9 @@
 import math
 from collections import Counter
+from itertools import groupby
 
 import pytest
+import xxhash
 
 from binweave.llm import style_tree as s
 
@@ -43,24 +45,89 @@ def test_whole_tables_give_the_articles(spark):
     assert sum(r["text"].split("\n", 1)[-1] in docs for r in rows) / len(rows) > 0.9
 
 
+def brute_force(rows):
+    """The tree in plain Python: (host, html) rows to (texts, composites), from the blocks of each page."""
+    parsed = [(h, s.parse((x or "").encode())) for h, x in rows]
+    distinct: dict = {}
+    for h, page in parsed:
+        area = max((b[2] for b in page.blocks if b[3] is False), default=0)
+        blocks = [b for b in page.blocks if b[3] is False and b[2] == area]
+        distinct.setdefault((h, "\n".join(b[1] for b in blocks)), []).append((page, blocks))
+    seen: dict = {}
+    for (h, _), same in distinct.items():
+        for path in {b[0] for _, blocks in same for b in blocks}:
+            digest = lambda t: xxhash.xxh3_64_intdigest(t) >> 1
+            of_page = []
+            for page, blocks in same:
+                if own := [b for b in blocks if b[0] == path]:
+                    names = [k for k, _ in groupby(page.children.get(path, []))]
+                    of_page.append((digest("".join(b[1] + "\n" for b in own)), digest("\n".join(names)), sum(len(b[1]) for b in own), sum(b[4] for b in own)))
+            seen.setdefault((h, path), []).append(min(of_page))
+    score = {}
+    for key, found in seen.items():
+        m = len(found)
+        entropy = lambda k: -sum(c / m * math.log(c / m) for c in Counter(f[k] for f in found).values()) / math.log(m) if m > 1 else 1.0  # noqa: B023, E731
+        mixed = 0.8 * entropy(0) + 0.2 * entropy(1) if m >= s.MIN_PAGES else 1.0
+        score[key] = mixed * (1 - sum(f[3] for f in found) / max(1, sum(f[2] for f in found)))
+    best = {h: max(v for (g, _), v in score.items() if g == h) for h, _ in score}
+    low = {k for k, v in score.items() if len(seen[k]) >= s.MIN_PAGES and v < 0.3 * best[k[0]] - 1e-9}
+    texts = []
+    for h, page in parsed:
+        area = max((b[2] for b in page.blocks if b[3] is False), default=0)
+        texts.append("\n".join(b[1] for b in page.blocks if b[3] is False and b[2] == area and (h, b[0]) not in low))
+    return texts, score
+
+
+def host(url):
+    return (url or "").split("//")[-1].split("/")[0].lower() if url else ""
+
+
+def test_whole_tables_as_a_tree_in_plain_python(spark):
+    rows = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").collect()
+    got = {r["page_id"]: r["text"] for r in s.extract(spark.read.parquet(f"{SF}/pages.parquet"), keep=["page_id", "url"]).collect()}
+    texts, _ = brute_force([(host(r["url"]), r["html"]) for r in rows])
+    assert got == {r["page_id"]: t for r, t in zip(rows, texts, strict=True)}
+
+
+def bare_site(prose, n=24, copies=6):
+    """Pages of blocks without semantic tags or telling names: of a post, boxes that repeat on the site, and links."""
+    pages = []
+    for i in range(n):
+        k = i % (n - copies)  # the last ones are copies
+        post = f'<div class="b"><div class="c{i}"><h2>{prose(70 + k, 4)}</h2><p>{prose(k, 30)}</p><p>{prose(k % 3, 9)}</p></div><div class="e">{prose(5000 + k % 2, 12)}</div></div>'
+        box = f'<div class="a"><p>{prose(9000, 20)}</p></div>' if i % 5 else ""
+        links = "<div class=d>" + " ".join(f"<a href=/{j}>{prose(i * 100 + j, 2)}</a>" for j in range(6)) + "</div>"
+        pages.append((i, f"http://bare.example/{i}", f"<body>{box}{post}{links}<div class=f><span>{prose(9001, 6)} {i % 2}</span></div></body>", f"{prose(70 + k, 4)}\n{prose(k, 30)}\n{prose(k % 3, 9)}"))
+    return pages
+
+
+def test_only_the_tree_separates_text_from_boilerplate(spark, prose):
+    pages = bare_site(prose)
+    df = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")
+    out = {r["page_id"]: r["text"] for r in s.extract(df).collect()}
+    assert out == {p[0]: p[3] for p in pages}
+    assert list(out.values()) == brute_force([(host(p[1]), p[2]) for p in pages])[0]
+    for p in pages:  # without the tree the boxes and links stay
+        alone = "\n".join(main(p[2]))
+        assert alone != p[3]
+        assert prose(9001, 6) in alone
+
+
+def test_the_tree_judges_inside_articles(spark, prose):
+    rows = [(i, "http://h/", f"<article><h1>{prose(i, 3)}</h1><p>{prose(i + 50, 20)}</p><p class=k>By the staff of the paper</p><section><div>{prose(7, 10)}</div></section><section class=s>{prose(i + 90, 9)}</section></article>") for i in range(9)]
+    out = {r["page_id"]: r["text"] for r in s.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {i: f"{prose(i, 3)}\n{prose(i + 50, 20)}\n{prose(i + 90, 9)}" for i in range(9)}
+
+
 def test_entropy_by_hand(spark):
     body = lambda i: f'<body><div class="x{i % 2}9"><p>same line</p></div><div class="share">go</div><section class="tail"><div>Read more at our site</div></section><div class="text">{"word" * (i + 1)} unlike any</div>'
     rows = [(i, f"http://HOST.example:80/{i}", body(i)) for i in range(8)] + [(8, None, body(8)), (9, "http://host.example:80/x", None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     with_host = df.withColumn("h", s.host_of(df.url))
     tree = {(r["host"], r["path"]): r for r in s.importance(s.nodes(with_host, "h", "html")).collect()}
-    counted: dict = {}
-    for i, _, h in rows[:8]:
-        own: dict = {}
-        for b in s.parse(h.encode()).blocks:
-            if b[3] is False:
-                own.setdefault(b[0], []).append(b[1])
-        for path, texts in own.items():
-            counted.setdefault(path, []).append("\n".join(texts))
-    for path, texts in counted.items():
-        m = len(texts)
-        h = -sum(c / m * math.log(c / m) for c in Counter(texts).values()) / math.log(m) if m > 1 else 1
-        assert tree["host.example:80", path]["content"] == pytest.approx(h, abs=1e-6)
+    _, score = brute_force([("host.example:80" if u else "", h) for _, u, h in rows])
+    assert {k: r["composite"] for k, r in tree.items()} == pytest.approx(score, abs=1e-6)
+    assert sorted(round(v, 3) for (h, _), v in score.items() if h) == [0, 0, 0.8]
     out = {r["page_id"]: r["text"] for r in s.extract(df).collect()}
     assert out[0] == "word unlike any"
     assert "Read more" in out[8]  # alone on its host
