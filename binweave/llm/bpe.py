@@ -1,16 +1,22 @@
 """Byte-level BPE encoding and decoding by a rank file, in two tiers.
 
-A pre-token that is itself in the vocabulary is found by one probe of a minimal perfect hash. Any other is merged by a heap
-over a linked list of its bytes: the lowest-ranked adjacent pair first, the leftmost of equals.
+Every pre-token is looked up in a minimal perfect hash of the vocabulary, whole slices at once; those that it holds are done. Any other is
+merged by a heap over a linked list of its bytes: the lowest-ranked adjacent pair first, the leftmost of equals, with ranks from the same hash
+(those of all pairs of two bytes are looked up once). Equal pre-tokens of a slice are merged once, and a task may remember the merges of
+earlier slices: `memory` is how many (0: none), which changes no result.
 
-Nulls and empty texts have no ids and decode to empty bytes; rows repeat as they come in; no text is cut."""
+Nulls and empty texts have no ids and decode to empty bytes; rows repeat as they come in; no text is cut; columns of the input with the name of a computed
+one are replaced, all others are kept, or those in `keep`; an empty table gives no rows."""
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Callable
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +29,8 @@ from binweave.llm._common import attach, texts
 
 
 class PerfectHash:
-    """Hash and displace: keys fall into buckets by one part of a 64-bit hash, and each bucket has the first displacement that sends
-    its keys to free places among exactly len(keys); a bucket of one key names its place outright. A probe compares the key kept
+    """Keys fall into buckets by their 64-bit hash, and each bucket has the first seed that sends its keys to free places among
+    exactly len(keys); a bucket of one key names its place outright. A probe compares the key kept
     at its place, so strangers are refused."""
 
     def __init__(self, keys: list[bytes], values: list[int]):
@@ -43,23 +49,28 @@ class PerfectHash:
             if size[b] < 2:
                 break
             own = order[first[b] : first[b + 1]]
-            high, low = [int(x) >> 32 for x in code[own]], [int(x) & 0xFFFFFFFF for x in code[own]]
-            d = 0
-            while True:
-                at = [(h + d * (x | 1) + d * d) % n for h, x in zip(high, low, strict=True)]
-                if len(set(at)) == len(at) and free[at].all():
-                    break
-                d += 1
+            high = [int(x) >> 32 for x in code[own]]
+            assert len(set(high)) == len(high), "keys that no seed parts"
+            seed = tries = 0
+            while len(set(at := [(h ^ seed) % n for h in high])) < len(high) or not free[at].all():
+                tries += 1
+                seed = tries * 0x9E3779B1 & 0x7FFFFFFF
             free[at] = False
-            shift[b], place[own] = d, at
+            shift[b], place[own] = seed, at
         single = np.flatnonzero(size == 1)
         place[order[first[single]]] = rest = np.flatnonzero(free)
         shift[single] = -1 - rest
-        self.shift = shift.tolist()
+        self.shift, self._shift = shift.tolist(), shift
         self.keys: list[bytes] = [b""] * n
-        self.values = [0] * n
+        self._names: list[str | None] = [None] * n  # the keys as text, where they are text
+        self.values = np.zeros(n, np.int64)
         for k, v, at in zip(keys, values, place.tolist(), strict=True):
             self.keys[at], self.values[at] = k, v
+            try:
+                self._names[at] = k.decode()
+            except UnicodeDecodeError:
+                pass
+        self._values = self.values.tolist()
 
     def get(self, key: bytes) -> int:
         """The key's value, -1 for a key that isn't there."""
@@ -67,62 +78,87 @@ class PerfectHash:
             return -1
         x = xxhash.xxh3_64_intdigest(key)
         d = self.shift[x % self.m]
-        at = -1 - d if d < 0 else ((x >> 32) + d * (x & 0xFFFFFFFF | 1) + d * d) % self.n
-        return self.values[at] if self.keys[at] == key else -1
+        at = -1 - d if d < 0 else (x >> 32 ^ d) % self.n
+        return self._values[at] if self.keys[at] == key else -1
+
+    def find(self, tokens: list[str]) -> np.ndarray:
+        """The values of the UTF-8 bytes of texts, -1 for those that aren't there."""
+        if not self.n or not tokens:
+            return np.full(len(tokens), -1, np.int64)
+        x = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
+        d = self._shift[(x % np.uint64(self.m)).astype(np.int64)]
+        at = np.where(d < 0, -1 - d, ((x >> np.uint64(32)).astype(np.int64) ^ d) % self.n)
+        same = np.fromiter(map(eq, map(self._names.__getitem__, at.tolist()), tokens), bool, len(tokens))
+        return np.where(same, self.values[at], -1)
 
 
 class Codec:
     """Encoder and decoder for one rank file (lines of base64 bytes and rank) and one pre-token pattern."""
 
-    #: Encoded pre-tokens that a task remembers, and the longest of them in bytes.
-    MEMO, MEMO_BYTES = 300_000, 48
+    #: Longest pre-token in bytes that is remembered.
+    MEMORY_BYTES = 48
 
     def __init__(self, ranks: bytes, pattern: str):
         pairs = [line.split() for line in ranks.splitlines() if line]
-        self.vocab = {base64.b64decode(a): int(b) for a, b in pairs}
-        self.table = PerfectHash(list(self.vocab), list(self.vocab.values()))
-        self.bytes = [b""] * (max(self.vocab.values(), default=-1) + 1)
-        for k, v in self.vocab.items():
+        vocabulary = {base64.b64decode(a): int(b) for a, b in pairs}
+        self.table = PerfectHash(list(vocabulary), list(vocabulary.values()))
+        self.bytes = [b""] * (max(vocabulary.values(), default=-1) + 1)
+        for k, v in vocabulary.items():
             self.bytes[v] = k
+        self.four = [*(i.to_bytes(4, "little") for i in range(len(self.bytes))), b""]  # the last, by -1, for what isn't there
+        self.single = [self.table.get(bytes([a])) for a in range(256)]
+        self.double = {(a, b): self.table.get(bytes([a, b])) for a in range(256) for b in range(256)}
         self.split = regex.compile(pattern).findall
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of a pre-token by merges."""
-        rank = self.vocab.get
-        n = len(word)
-        after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(word[i : i + 2])) is not None]
+        rank, n = self.table.get, len(word)
+        if n == 1:
+            return [self.single[word[0]]]
+        after, before, id_ = list(range(1, n + 1)), list(range(-1, n - 1)), [self.single[x] for x in word]
+        heap = [(r, i, i + 2) for i, r in enumerate(map(self.double.__getitem__, zip(word, word[1:]))) if r >= 0]  # noqa: B905
         heapify(heap)
-        alive = [True] * n
         while heap:
-            _, i, stop = heappop(heap)
-            if not alive[i] or (j := after[i]) >= n or end[j] != stop:
+            r, i, stop = heappop(heap)
+            if id_[i] < 0 or (j := after[i]) >= n or after[j] != stop:
                 continue  # one of the two parts has changed since
-            alive[j], end[i], after[i] = False, stop, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                if (r := rank(word[i : end[after[i]]])) is not None:
-                    heappush(heap, (r, i, end[after[i]]))
-            if (p := before[i]) >= 0 and (r := rank(word[p:stop])) is not None:
+            id_[i], id_[j], after[i] = r, -1, stop
+            if stop < n:
+                before[stop] = i
+                end = after[stop]
+                if (r := rank(word[i:end])) >= 0:
+                    heappush(heap, (r, i, end))
+            if (p := before[i]) >= 0 and (r := rank(word[p:stop])) >= 0:
                 heappush(heap, (r, p, stop))
-        return [self.vocab[word[i : end[i]]] for i in range(n) if alive[i]]
-
-    def part(self, token: str, memo: dict[str, bytes]) -> bytes:
-        """Ids of a pre-token as little-endian 32-bit integers; memo remembers them."""
-        word = token.encode()
-        found = self.table.get(word)
-        out = found.to_bytes(4, "little") if found >= 0 else np.array(self.merge(word), "<u4").tobytes()
-        if len(word) <= self.MEMO_BYTES:
-            if len(memo) >= self.MEMO:
-                memo.clear()
-            memo[token] = out
-        return out
-
-    def encode(self, text: str, memo: dict[str, bytes] | None = None) -> bytes:
-        """Ids of a text as little-endian 32-bit integers; memo: encoded pre-tokens, kept from text to text."""
-        memo = {} if memo is None else memo
-        got, part = memo.get, self.part
-        return b"".join([got(t) or part(t, memo) for t in self.split(text)])
+        return [x for x in id_ if x >= 0]
+
+    def encode_all(self, texts_: list[str], memory: dict[str, bytes] | None = None, most: int = 0) -> list[bytes]:
+        """Ids of texts as little-endian 32-bit integers. memory: merges of earlier calls, to which those of this one are added; it is
+        emptied behind a call that leaves more than `most` in it, and pre-tokens of over MEMORY_BYTES bytes do not stay."""
+        tokens = list(map(self.split, texts_))
+        flat = list(chain.from_iterable(tokens))
+        found = self.table.find(flat)
+        parts = list(map(self.four.__getitem__, found.tolist()))
+        merged, long = {} if memory is None else memory, []
+        for i in np.flatnonzero(found < 0).tolist():
+            t = flat[i]
+            if (ids := merged.get(t)) is None:
+                word = t.encode()
+                ids = merged[t] = np.array(self.merge(word), "<u4").tobytes()
+                if len(word) > self.MEMORY_BYTES:
+                    long.append(t)
+            parts[i] = ids
+        if len(merged) > most:
+            merged.clear()
+        else:
+            for t in long:
+                del merged[t]
+        ends = np.cumsum([len(t) for t in tokens]).tolist()
+        return [b"".join(parts[a:b]) for a, b in zip([0, *ends], ends)]  # noqa: B905
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as little-endian 32-bit integers."""
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes of ids; an id outside the vocabulary raises IndexError."""
@@ -135,48 +171,51 @@ def codec(ranks: bytes, pattern: str) -> Codec:
     return Codec(ranks, pattern)
 
 
-def encode(df: DataFrame, text: str, vocabulary: str, pattern: str, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
-    """df with a binary column of ids (little-endian unsigned 32-bit); vocabulary is a rank file that the driver can read."""
+#: Merged pre-tokens that a task remembers.
+MEMORY = 300_000
+
+
+def _ranks(vocabulary: str) -> bytes:
     with open(vocabulary, "rb") as f:
-        ranks = f.read()
+        return f.read()
 
-    def make():
-        c, memo = codec(ranks, pattern), {}
 
-        def work(part):
-            return [pa.array([c.encode(x.decode(), memo) for x in texts(part.column(text))], pa.binary())]
+def _encoder(ranks: bytes, pattern: str, memory: int) -> Callable[[pa.Array], list[bytes]]:
+    c, held = codec(ranks, pattern), {}
+    return lambda column: c.encode_all([x.decode() for x in texts(column)], held, memory)
 
-        return work
+
+def encode(df: DataFrame, text: str, vocabulary: str, pattern: str, ids: str = "ids", keep: list[str] | None = None, memory: int = MEMORY) -> DataFrame:
+    """df with a binary column of ids (little-endian unsigned 32-bit); vocabulary is a rank file that the driver can read."""
+    ranks = _ranks(vocabulary)
+
+    def make():
+        encoded = _encoder(ranks, pattern, memory)
+        return lambda part: [pa.array(encoded(part.column(text)), pa.binary())]
 
     return attach(df, text, [(ids, T.BinaryType())], make, keep)
 
 
 def decode(df: DataFrame, ids: str, vocabulary: str, pattern: str, decoded: str = "decoded", keep: list[str] | None = None) -> DataFrame:
     """df with a binary column of the bytes of a column of ids as encode() makes it."""
-    with open(vocabulary, "rb") as f:
-        ranks = f.read()
+    ranks = _ranks(vocabulary)
 
     def make():
         c = codec(ranks, pattern)
-
-        def work(part):
-            return [pa.array([c.decode(x) for x in texts(part.column(ids))], pa.binary())]
-
-        return work
+        return lambda part: [pa.array([c.decode(x) for x in texts(part.column(ids))], pa.binary())]
 
     return attach(df, ids, [(decoded, T.BinaryType())], make, keep)
 
 
-def round_trip(df: DataFrame, text: str, vocabulary: str, pattern: str, with_ids: bool = False, keep: list[str] | None = None) -> DataFrame:
+def round_trip(df: DataFrame, text: str, vocabulary: str, pattern: str, with_ids: bool = False, keep: list[str] | None = None, memory: int = MEMORY) -> DataFrame:
     """df with n_tokens, ids_sha256 and decoded_sha256, and the ids themselves if with_ids: encodes and decodes in one pass."""
-    with open(vocabulary, "rb") as f:
-        ranks = f.read()
+    ranks = _ranks(vocabulary)
 
     def make():
-        c, memo = codec(ranks, pattern), {}
+        c, encoded = codec(ranks, pattern), _encoder(ranks, pattern, memory)
 
         def work(part):
-            ids = [c.encode(x.decode(), memo) for x in texts(part.column(text))]
+            ids = encoded(part.column(text))
             return [
                 pa.array([len(x) // 4 for x in ids], pa.int64()),
                 pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),

@@ -40,19 +40,45 @@ def test_long_runs(codec, known):
 
 
 def test_perfect_hash(codec):
-    assert len(codec.table.keys) == len(set(codec.table.keys)) == len(codec.vocab)
-    assert all(codec.table.get(k) == v for k, v in codec.vocab.items())
+    vocabulary = {k: i for i, k in enumerate(codec.bytes) if k}
+    assert len(codec.table.keys) == len(set(codec.table.keys)) == codec.table.n == len(vocabulary)
+    assert all(codec.table.get(k) == v for k, v in vocabulary.items())
+    texts = [k.decode() for k in vocabulary if k.decode("utf-8", "replace").encode() == k]
+    assert codec.table.find([*texts, "no such token", "\ufffd"]).tolist() == [*[vocabulary[t.encode()] for t in texts], -1, vocabulary.get("\ufffd".encode(), -1)]
     assert codec.table.get(b"no such token") == -1
     assert bpe.PerfectHash([], []).get(b"x") == -1
     one = bpe.PerfectHash([b"a"], [7])
     assert (one.get(b"a"), one.get(b"b")) == (7, -1)
 
 
-def test_memory_of_encoded_words_is_bounded(codec, monkeypatch):
-    monkeypatch.setattr(bpe.Codec, "MEMO", 3)
-    text, memo = "one two three four five six", {}
-    assert codec.decode(codec.encode(text, memo)) == text.encode() == codec.decode(codec.encode(text, memo))
-    assert len(memo) <= 3
+def test_memory_of_merges_is_bounded_and_changes_nothing(codec):
+    texts = ["qwzx vbnq plkj", "", "qwzx plkj zzqj xxqk", "the qwzx"]
+    want, memory = codec.encode_all(texts), {}
+    assert codec.encode_all(texts, memory, 100) == want == codec.encode_all(texts, memory, 100)
+    assert len(memory) == 6
+    assert codec.encode_all(["z" * 49, *texts], memory, 100)[1:] == want
+    assert len(memory) == 6
+    assert codec.encode_all(texts, memory, 3) == want
+    assert not memory
+
+
+def test_both_tiers_answer(codec, known, monkeypatch):
+    """Each pre-token of whole documents is looked up in the perfect hash, each that it lacks is merged, and no other table has the vocabulary."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()
+    looked, merged, find, merge = [], [], codec.table.find, codec.merge
+    monkeypatch.setattr(codec.table, "find", lambda tokens: looked.extend(tokens) or find(tokens))
+    monkeypatch.setattr(codec, "merge", lambda word: merged.append(word) or merge(word))
+    got = codec.encode_all([t or "" for t in texts])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [known.encode_ordinary(t or "") for t in texts]
+    tokens = [x for t in texts for x in codec.split(t or "")]
+    assert looked == tokens
+    lacking = [t.encode() for t in dict.fromkeys(tokens) if codec.table.get(t.encode()) < 0]
+    assert merged == lacking
+    assert 0 < sum(x >= 0 for x in find(tokens)) < len(tokens)
+    monkeypatch.setattr(codec, "table", bpe.PerfectHash([], []))  # without the hash nothing but pairs of bytes is known
+    assert np.frombuffer(codec.encode("the"), "<u4").tolist() != known.encode_ordinary("the")
 
 
 def test_frames(spark, known):
