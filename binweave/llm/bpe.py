@@ -2,7 +2,7 @@
 
 Every pre-token is looked up in a minimal perfect hash of the vocabulary, whole slices at once; those that it holds are done. Any other is
 merged by a heap over a linked list of its bytes: the lowest-ranked adjacent pair first, the leftmost of equals, with ranks from the same hash
-(those of all pairs of two bytes are looked up once). Equal pre-tokens of a slice are merged once, and a task may remember the merges of
+(those of all pairs of two bytes are looked up once). Equal pre-tokens of a slice are merged once, and a worker may remember the merges of
 earlier slices: `memory` is how many (0: none), which changes no result.
 
 Nulls and empty texts have no ids and decode to empty bytes; rows repeat as they come in; no text is cut; columns of the input with the name of a computed
@@ -109,6 +109,7 @@ class Codec:
         self.single = [self.table.get(bytes([a])) for a in range(256)]
         self.double = {(a, b): self.table.get(bytes([a, b])) for a in range(256) for b in range(256)}
         self.split = regex.compile(pattern).findall
+        self.memory: dict[str, bytes] = {}
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of a pre-token by merges."""
@@ -171,8 +172,8 @@ def codec(ranks: bytes, pattern: str) -> Codec:
     return Codec(ranks, pattern)
 
 
-#: Merged pre-tokens that a task remembers.
-MEMORY = 300_000
+#: Merged pre-tokens that a Python worker remembers, from task to task.
+MEMORY = 500_000
 
 
 def _ranks(vocabulary: str) -> bytes:
@@ -181,8 +182,8 @@ def _ranks(vocabulary: str) -> bytes:
 
 
 def _encoder(ranks: bytes, pattern: str, memory: int) -> Callable[[pa.Array], list[bytes]]:
-    c, held = codec(ranks, pattern), {}
-    return lambda column: c.encode_all([x.decode() for x in texts(column)], held, memory)
+    c = codec(ranks, pattern)
+    return lambda column: c.encode_all([x.decode() for x in texts(column)], c.memory, memory)
 
 
 def encode(df: DataFrame, text: str, vocabulary: str, pattern: str, ids: str = "ids", keep: list[str] | None = None, memory: int = MEMORY) -> DataFrame:
