@@ -94,13 +94,35 @@ def held_out(doc_id: Column, mod: int, rest: int) -> Column:
     return F.coalesce(remainder(doc_id, mod) == rest, F.lit(False))
 
 
-def class_sample(rows: DataFrame, label: str, key: str, cap: int, classes: int = 1000) -> DataFrame:
-    """Of each of the (at most `classes`) label values about cap rows, chosen by a hash of key; all rows where there are fewer."""
-    counts = rows.groupBy(label).count().orderBy(F.desc("count")).limit(classes).collect()
-    keep = F.lit(0.0)
-    for value, n in counts:
-        keep = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, cap / n))).otherwise(keep)
-    return rows.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1_000_000)) < keep * 1_000_000)
+#: Bytes of training texts that come to the driver, of all classes together.
+SAMPLE_BYTES = 32 << 20
+
+
+def class_sample(rows: DataFrame, label: str, key: str, cap: int, text: str | None = None, most_bytes: int = SAMPLE_BYTES, classes: int = 1000) -> DataFrame:
+    """Of each of the `classes` most frequent label values about cap distinct rows, and no more than have about an equal share of most_bytes
+    of text; all distinct rows where there are fewer. Rows are drawn by a hash of key and text, so the same ones each time, and equal rows count
+    once. Rows of rarer labels are left out."""
+    body = F.coalesce(F.col(text), F.lit("")) if text else F.lit("")
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(body)).alias("bytes")).orderBy(F.desc("n"), label).limit(classes).collect()
+    if not counts:
+        return rows.limit(0)
+    share = most_bytes / len(counts)
+    kept = [(value, min(1.0, cap / n, share / max(size, 1))) for value, n, size in counts]
+    schema = T.StructType([T.StructField("_value", rows.schema[label].dataType), T.StructField("_keep", T.DoubleType())])
+    keep = F.broadcast(rows.sparkSession.createDataFrame(kept, schema))  # at most `classes` rows
+    drawn = F.pmod(F.xxhash64(F.col(key).cast("string"), body, F.lit("sample")), F.lit(1_000_000))
+    return rows.join(keep, F.col(label) == F.col("_value")).where(drawn < F.col("_keep") * 1_000_000).drop("_value", "_keep").distinct()
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, known: Column, cap: int, columns: list[str]) -> DataFrame:
+    """(y, t and `columns` of documents) of about cap labelled documents of each class (0 or 1) within SAMPLE_BYTES, of those labels whose
+    doc_id (k) meets `known`. The drawn ids, of which there are about 2 cap at most, are broadcast; the drawn documents are stored before their
+    bytes are counted, so an id that many documents share is no danger."""
+    marks = labels.select(F.col("doc_id").alias("k"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("k").isNotNull() & known)
+    chosen = class_sample(marks, "y", "k", cap)
+    text = documents.select(F.col("doc_id").alias("d"), F.coalesce("text", F.lit("")).alias("t"), *columns)
+    found = stored(text.join(F.broadcast(chosen), F.col("d") == F.col("k")).drop("d"), shared_dir(documents.sparkSession, "sample"))
+    return class_sample(found, "y", "k", cap, "t")
 
 
 def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -3,7 +3,8 @@
 A text is the mean of the embeddings of its hashed byte 3-grams and 4-grams (small letters, anything else one space, so that word ends
 are seen). Confidence is the softmax after a temperature fitted on texts kept out of training; a text whose confidence is below the
 threshold fitted there is rejected. Null texts and texts without a letter are `und` with score 0 and are rejected. Whole texts count.
-Ties go to the alphabetically first language. With no training text everything is `und`."""
+Ties go to the alphabetically first language. With no training text everything is `und`. Repeated rows have equal results, and equal training rows count
+once; columns of the input named lang_pred, score or lang_accepted are replaced, others kept; an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -63,7 +64,8 @@ class LanguageModel:
     def logits(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Logits and whether there is a letter."""
         out, first, has = grams(data, off)
-        total = sum(segment_sum(self.table[b], f) for b, f in zip(out, first, strict=True))
+        step = max(1, 32 // max(len(out), 1))  # languages at once, so that what is gathered is bounded whatever their number
+        total = np.concatenate([sum(segment_sum(self.table[:, k : k + step][b], f) for b, f in zip(out, first, strict=True)) for k in range(0, len(self.languages), step)], axis=1)
         n = sum(np.diff(f) for f in first)
         return total / np.maximum(n, 1)[:, None] + self.bias, has
 
@@ -137,10 +139,10 @@ def train(docs: list[bytes], langs: list[str], dim: int = 16, epochs: int = 8, r
 
 
 def fit(documents: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", cap: int = 1000) -> LanguageModel:
-    """Train on about cap texts of each language, chosen by a hash of key, among rows outside the held-out quarter
-    (crc32(key as text) mod 4 is 2) with a non-null language. cap bounds what reaches the driver."""
+    """Train on about cap texts of each language, chosen by a hash of key and text, among rows outside the held-out quarter
+    (crc32(key as text) mod 4 is 2) with a non-null language. cap and SAMPLE_BYTES bound what reaches the driver."""
     rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where(F.col("l").isNotNull() & F.col("t").isNotNull() & ~held_out(F.col("k"), 4, 2))
-    got = class_sample(rows, "l", "k", cap).select("t", "l", F.xxhash64("t").alias("h")).toArrow().sort_by([("h", "ascending"), ("l", "ascending")])
+    got = class_sample(rows, "l", "k", cap, "t").select("t", "l", F.xxhash64("t", "k").alias("h")).toArrow().sort_by([("h", "ascending"), ("l", "ascending")])
     return train([x.encode() for x in got["t"].to_pylist()], got["l"].to_pylist())
 
 

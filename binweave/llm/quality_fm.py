@@ -3,8 +3,9 @@
 score = sigmoid(b + sum_i w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i (v_if x_i)^2)): all pairwise interactions in time linear in
 the number of a text's features. Features: words hashed to 2^16 places with x = log(1 + count) over the text's norm, one place for each
 bin of each structure statistic, and one for each bin of the metadata (length in characters, computed where the column is null).
-Whole texts count. Null and empty texts have the statistics of no words, and a score like any other. Label, language, source and id
-are no inputs. Without training rows the score is 0.5; with one class only it is that class's."""
+Whole texts count. Null and empty texts have the statistics of no words, and a score like any other; repeated rows have equal scores;
+columns of the input named score or predicted are replaced, others kept. Label, language, source and id are no inputs; equal training rows count once. Without training rows the score
+is 0.5; with one class only it is that class's; an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from binweave.llm._common import SLICE_BYTES, attach, class_sample, held_out, utf8
+from binweave.llm._common import SLICE_BYTES, attach, held_out, labelled_sample, utf8
 from binweave.llm.words import Words, distinct, segment_sum, words
 
 BITS, RANK, BINS = 16, 8, 24
@@ -139,13 +140,13 @@ def train(docs: list[bytes], y: np.ndarray, chars: np.ndarray, prior: float | No
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", cap: int = 3000) -> FactorisationMachine:
-    """Train on about cap labelled texts of each class (chosen by a hash of doc_id; cap bounds what reaches the driver and is
-    broadcast), none of them from the held-out fifth (crc32(doc_id as text) mod 5 is 0). Rows with a null label or id are left out."""
-    known = labels.select(F.col("doc_id").alias("k"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("k").isNotNull() & ~held_out(F.col("k"), 5, 0))
-    share = known.agg(F.avg("y")).first()[0]
-    chosen = class_sample(known, "y", "k", cap)
-    text = documents.select(F.col("doc_id").alias("d"), F.coalesce("text", F.lit("")).alias("t"), (F.col("n_chars") if "n_chars" in documents.columns else F.lit(None)).cast("long").alias("n"))
-    got = text.join(F.broadcast(chosen), F.col("d") == F.col("k")).select("t", "y", F.coalesce("n", F.length("t")).alias("n"), F.xxhash64("t", "d").alias("h")).toArrow().sort_by([("h", "ascending"), ("y", "ascending")])
+    """Train on about cap labelled texts of each class (chosen by a hash of doc_id; cap and SAMPLE_BYTES bound what reaches the driver), none of them
+    from the held-out fifth (crc32(doc_id as text) mod 5 is 0). Rows with a null label or id are left out."""
+    known = ~held_out(F.col("k"), 5, 0)
+    share = labels.select(F.col("doc_id").alias("k"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("k").isNotNull() & known).agg(F.avg("y")).first()[0]
+    chars = (F.col("n_chars") if "n_chars" in documents.columns else F.lit(None)).cast("long")
+    rows = labelled_sample(documents.withColumn("n", chars), labels, label, known, cap, ["n"])
+    got = rows.select("t", "y", F.coalesce("n", F.length("t")).alias("n"), F.xxhash64("t", "k").alias("h")).toArrow().sort_by([("h", "ascending"), ("y", "ascending"), ("n", "ascending")])
     return train([t.encode() for t in got["t"].to_pylist()], got["y"].to_numpy(), got["n"].to_numpy(), share)
 
 

@@ -1,11 +1,15 @@
 """Toxicity by multiple-instance learning: a text is a bag of sentences, and is toxic if any sentence is.
 
-A sentence's probability is a logistic function of its hashed words and word beginnings, 0 if none of them has a weight, so that clean
-sentences do not add up however many there are; the text's is the noisy-or 1 - prod(1 - p).
-Only text labels train it, so the gradient reaches a sentence through its share in the noisy-or, and the offending sentences are located
+A sentence's probability is a logistic function of its hashed words and word beginnings, 0 if none of them has a weight; the text's is
+the noisy-or 1 - prod(1 - p). The odds that a given sentence is the offending one fall with the number of sentences, so the bias, itself trained, is lowered by
+the logarithm of how many times a text has the sentences of a usual training text: clean sentences do not add up however
+many there are. Only text labels train the model, so the gradient reaches a sentence through its share in the noisy-or, and the offending sentences are located
 by their own probabilities. Only features that occur in toxic texts more than chance explains (a log-likelihood ratio test over the
-training texts) get weights, which start at their log odds and are refined by gradient descent. Sentences end at . ! ? and line ends. Whole texts count. Null and empty texts have no sentence, score 0 and no spans.
-Label, language, source and id are no inputs. Without training rows every score is 0."""
+training texts) get weights, which start at their log odds and are refined by gradient descent.
+
+Sentences end at . ! ? and line ends. Whole texts count. Null and empty texts have no sentence, score 0 and no spans; repeated rows have equal
+results; columns named as those of SCORED are replaced, others kept. Label, language, source and id are no inputs. Equal training rows count
+once. Without training rows, toxic ones among them, every score is 0; an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -17,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from binweave.llm._common import attach, class_sample, held_out, utf8
+from binweave.llm._common import attach, held_out, labelled_sample, utf8
 from binweave.llm.words import segment_sum, words
 
 #: Hash bits of features, and the byte lengths of the word beginnings among them.
@@ -52,21 +56,26 @@ def sentences(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 @dataclass
 class NoisyOr:
-    """Sentence model: weights of feature buckets (the last place, that of no feature, is 0) and a bias."""
+    """Sentence model: weights of feature buckets (the last place, that of no feature, is 0), a bias, and the sentences of a usual text."""
 
     weights: np.ndarray = field(default_factory=lambda: np.zeros((1 << BITS) + 1, np.float32))
     bias: float = -np.inf
+    usual: float = 1.0
+
+    def lowered(self, many: np.ndarray) -> np.ndarray:
+        """The bias of the sentences of texts of so many."""
+        return self.bias - np.log(np.maximum(many / self.usual, 1))
 
-    def sentence(self, bucket: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Probability of each sentence."""
+    def sentence(self, bucket: np.ndarray, first: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Probability of each sentence of texts."""
         weight = self.weights[bucket]
-        z = np.clip(segment_sum(weight.sum(1), first) + self.bias, -60, 30)
+        z = np.clip(segment_sum(weight.sum(1), first) + self.lowered(np.bincount(doc)[doc]), -60, 30)
         return np.where(segment_sum((weight != 0).any(1).astype(np.int64), first) > 0, 1 / (1 + np.exp(-z)), 0)
 
     def bags(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
         """Probability of each text, then of each sentence with its text and byte range."""
         bucket, first, doc, start, end = sentences(data, off)
-        p = self.sentence(bucket, first) if len(doc) else np.zeros(0)
+        p = self.sentence(bucket, first, doc) if len(doc) else np.zeros(0)
         none = segment_sum(np.log1p(-np.minimum(p, 1 - 1e-12)), np.searchsorted(doc, np.arange(len(off))))
         return np.abs(np.expm1(none)), p, doc, start, end
 
@@ -92,6 +101,9 @@ def train(docs: list[bytes], y: np.ndarray, epochs: int = 20, rate: float = 0.05
     odds = np.log((seen[1] + 0.5) / (y.sum() + 1)) - np.log((seen[0] + 0.5) / ((1 - y).sum() + 1))
     chosen = (odds >= least) & (g2 >= ratio) & (seen[1] >= max(3, support * y.sum()))
     w, model.bias = model.weights, bias
+    many = np.array([len(first) - 1 for _, first in bags])
+    model.usual = max(1.0, float(many.mean()))
+    length = np.log(np.maximum(many / model.usual, 1))
     w[:-1][chosen] = odds[chosen] * scale
     sparse = []
     for bucket, first in bags:
@@ -106,20 +118,19 @@ def train(docs: list[bytes], y: np.ndarray, epochs: int = 20, rate: float = 0.05
             at, sentence, m = sparse[i]
             if not len(at):
                 continue
-            p = 1 / (1 + np.exp(-np.clip(np.bincount(sentence, w[at], m) + model.bias, -60, 30)))
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(sentence, w[at], m) + model.bias - length[i], -60, 30)))
             total = -np.expm1(np.log1p(-np.minimum(p, 1 - 1e-9)).sum())
             g = p if not y[i] else -p * (1 - total) / max(total, 1e-6)
             np.subtract.at(w, at, (step * g[sentence]).astype(np.float32))
+            model.bias -= step * float(g.sum())
     return model
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", cap: int = 4000) -> NoisyOr:
-    """Train on about cap labelled texts of each class (chosen by a hash of doc_id; cap bounds what reaches the driver and is
-    broadcast), none from the held-out third (crc32(doc_id as text) mod 3 is 1). Rows with a null label or id are left out."""
-    known = labels.select(F.col("doc_id").alias("k"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("k").isNotNull() & ~held_out(F.col("k"), 3, 1))
-    chosen = class_sample(known, "y", "k", cap)
-    text = documents.select(F.col("doc_id").alias("d"), F.coalesce("text", F.lit("")).alias("t"))
-    got = text.join(F.broadcast(chosen), F.col("d") == F.col("k")).select("t", "y", F.xxhash64("t", "d").alias("h")).toArrow().sort_by([("h", "ascending"), ("y", "ascending")])
+    """Train on about cap labelled texts of each class (chosen by a hash of doc_id; cap and SAMPLE_BYTES bound what reaches the driver), none
+    from the held-out third (crc32(doc_id as text) mod 3 is 1). Rows with a null label or id are left out."""
+    rows = labelled_sample(documents, labels, label, ~held_out(F.col("k"), 3, 1), cap, [])
+    got = rows.select("t", "y", F.xxhash64("t", "k").alias("h")).toArrow().sort_by([("h", "ascending"), ("y", "ascending")])
     return train([t.encode() for t in got["t"].to_pylist()], got["y"].to_numpy())
 
 

@@ -1,9 +1,11 @@
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from binweave.llm import langid, quality_fm, toxic_mil
-from binweave.llm._common import remainder, utf8
+from binweave.llm._common import class_sample, remainder, utf8
+from binweave.llm.words import lower
 
 SF = "/root/testdata/sf0.1"
 
@@ -89,8 +91,6 @@ def test_noisy_or_by_hand():
 
 
 def test_sum_of_squares_identity():
-    import numpy as np
-
     rng = np.random.default_rng(1)
     model = quality_fm.FactorisationMachine(0.3, rng.normal(size=quality_fm.SIZE), rng.normal(size=(quality_fm.SIZE, quality_fm.RANK)))
     data, off = utf8(pa.array(["one two three two ONE!", "", "x"]))
@@ -129,3 +129,56 @@ def test_clean_sentences_do_not_add_up(documents, labels):
     total, *_ = model.bags(data, off)
     assert total[0] == 0
     assert total[1] >= 0.7
+
+
+def test_clean_sentences_of_weak_features_do_not_add_up(documents, labels):
+    """All clean held-out texts of the table in one, again and again: over 100,000 sentences, some with features of little weight."""
+    model = toxic_mil.fit(documents, labels)
+    clean = [r["text"] for r in documents.join(labels.where((remainder(F.col("doc_id"), 3) == 1) & (F.col("toxic") == 0)), "doc_id").orderBy("doc_id").collect()]
+    data, off = utf8(pa.array(clean))
+    total, p, doc, *_ = model.bags(data, off)
+    quiet = [t for t, s in zip(clean, total, strict=True) if s < 0.2]
+    assert (p > 0).any()
+    text = "\n".join(quiet * -(-100_000 * len(quiet) // len(doc) // len(quiet)))
+    data, off = utf8(pa.array([text]))
+    total, p, *_ = model.bags(data, off)
+    assert len(p) > 90_000
+    assert (p > 0).sum() > 100
+    assert total[0] < 0.7
+
+
+def test_samples_are_bounded_in_rows_and_bytes(spark):
+    rows = [(7 if i < 500 else i, "a", f"{i}" * 50) for i in range(1000)] + [(i, "b", f"{i}" + "y" * 1000) for i in range(20)] + [(None, "b", None), (3, None, "z")] + [(1, "c", "same")] * 300
+    df = spark.createDataFrame(rows, "k long, l string, t string").where("l is not null")
+    got = class_sample(df, "l", "k", 100, "t", 1 << 20)
+    n = {r["l"]: r["n"] for r in got.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert 50 <= n["a"] <= 150  # texts of an id that repeats are drawn one by one
+    assert n["b"] == 21
+    assert n.get("c", 0) <= 1
+    few = class_sample(df, "l", "k", 100_000, "t", 20_000)
+    assert 0 < few.agg(F.sum(F.octet_length("t"))).first()[0] < 40_000
+    assert class_sample(df.limit(0), "l", "k", 100, "t").count() == 0
+
+
+def test_language_scores_as_a_plain_loop(documents):
+    """The model's logits, n-gram by n-gram."""
+    model = langid.fit(documents)
+    cases = [r["text"] for r in documents.orderBy("doc_id").limit(8).collect()] + ["Ab, ÇÉ x!", "", "12 3"]
+    data, off = utf8(pa.array(cases))
+    z, has = model.logits(data, off)
+    for i, text in enumerate(cases):
+        low = lower(data[off[i] : off[i + 1]]).tobytes()
+        clean, before = bytearray(), True  # of a run of other bytes the first is a space, none at the start
+        for k, c in enumerate(low):
+            letter = 97 <= c <= 122 or c >= 128
+            if letter or before and (k or i):
+                clean.append(c if letter else 32)
+            before = letter
+        total, n = np.zeros(len(model.languages)), 0
+        for size in langid.SIZES:
+            for k in range(len(clean) - size + 1):
+                code = sum((c + 1) * pow(0x01000193, j + 1, 1 << 32) for j, c in enumerate(clean[k : k + size])) * 0x9E3779B1 % (1 << 32)
+                total += model.table[((code ^ code >> 15) * 0x85EBCA77 % (1 << 32)) >> (32 - langid.BITS)]
+                n += 1
+        assert z[i] == pytest.approx(total / max(n, 1) + model.bias, abs=1e-3), text[:50]
+        assert has[i] == any(c.isalpha() for c in text)
