@@ -11,7 +11,8 @@ copies) is dealt out in pairs of blocks, each within a task's memory; no bucket,
 
 Results carry each row's id; ids may repeat or be null (a null id is never a class's). Null texts and texts without a word have no
 tokens, are alike to nothing, and keep their own id as class. A text of fewer than five words is one shingle of all its words. Ties for
-a class's id go to the smallest id. Repeated rows are copies. Tokens are 32-bit hashes of shingles."""
+a class's id go to the smallest id. Repeated rows are copies. Tokens are 32-bit hashes of
+shingles. Extra columns of docs, whatever their names, are not read by join() and all kept by deduplicate(); an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -25,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from binweave.llm._common import bound_batches, delete, row_key, shared_dir, slices, stored, utf8, without
+from binweave.llm._common import bound_batches, delete, free_name, row_key, shared_dir, slices, stored, utf8, without
 from binweave.llm.words import distinct, mix, shingles, words
 
 #: Similarity, shingle words, recall of a pair just at the similarity, tokens of a path at most, bucket size that is compared outright,
-#: and sets in a block of a bucket that no further token splits.
-SIMILARITY, WIDTH, TARGET, DEPTH, LIMIT, BLOCK = 0.8, 5, 0.999, 3, 64, 1024
+#: and sets, and bytes of tokens, in a block of a bucket that no further token splits.
+SIMILARITY, WIDTH, TARGET, DEPTH, LIMIT, BLOCK, BLOCK_BYTES = 0.8, 5, 0.999, 3, 64, 1024, 8 << 20
 
 
 def runs(similarity: float = SIMILARITY, target: float = TARGET, depth: int = DEPTH, nested: bool = False) -> int:
@@ -50,9 +51,6 @@ def _children(key: np.ndarray, token: np.ndarray, size: np.ndarray, similarity:
     return chosen, mix(x[chosen] + key[chosen] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
 
 
-
-
-
 def sets(docs: DataFrame, key: str, text: str, width: int = WIDTH, similarity: float = SIMILARITY, count: int | None = None) -> DataFrame:
     """(row, id, sig, tokens, keys): each row's token set (sorted 32-bit), its 64-bit signature (null if empty), and the keys of its paths of one token."""
     seeds = mix(np.arange(1, (count or runs(similarity, nested=True)) + 1, dtype=np.uint64))
@@ -79,29 +77,31 @@ def sets(docs: DataFrame, key: str, text: str, width: int = WIDTH, similarity: f
 
 
 def _shared(members: DataFrame, path: str) -> DataFrame:
-    """(key, sig, n, same): members (key, sig) of buckets of two sets or more, with the bucket's size and a checksum of its members."""
-    each = members.distinct()
-    sizes = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("sig")).alias("same")).where("n > 1")
+    """(key, sig, size, n, bytes, same): members (key, sig, size) of buckets of two sets or more, with the bucket's sets, their bytes, and a checksum
+    of them."""
+    each = members.groupBy("key", "sig").agg(F.min("size").alias("size"))
+    sizes = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.bit_xor(F.xxhash64("sig")).alias("same")).where("n > 1")
     return stored(each.join(sizes, "key"), path)
 
 
 def _split(big: DataFrame, table: DataFrame, rep: DataFrame, similarity: float) -> DataFrame:
-    """(key, sig): members of the buckets below those of big (key, sig)."""
+    """(key, sig, size): members of the buckets below those of big (key, sig)."""
     todo = big.groupBy("sig").agg(F.collect_list("key").alias("keys")).join(rep.select("sig", "row"), "sig")
     rows = table.select("row", "tokens").join(todo, "row").select("sig", "tokens", "keys")
 
     def run(batches):
         for batch in batches:
-            out_key, out_sig = [], []
+            out_key, out_sig, out_size = [], [], []
             for sig, raw, keys in zip(batch.column("sig").to_pylist(), batch.column("tokens").to_pylist(), batch.column("keys").to_pylist(), strict=True):
                 token = np.frombuffer(raw, np.uint32)
                 for k in keys:
                     _, child = _children(np.full(len(token), np.int64(k)).view(np.uint64), token, np.full(len(token), len(token)), similarity)
                     out_key.append(child.view(np.int64))
                     out_sig += [sig] * len(child)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_key) if out_key else [], pa.int64()), pa.array(out_sig, pa.int64())], names=["key", "sig"])
+                    out_size += [len(raw)] * len(child)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_key) if out_key else [], pa.int64()), pa.array(out_sig, pa.int64()), pa.array(out_size, pa.int32())], names=["key", "sig", "size"])
 
-    return rows.mapInArrow(run, "key long, sig long")
+    return rows.mapInArrow(run, "key long, sig long, size int")
 
 
 def _overlaps(tokens: list[np.ndarray], width: int = 1024) -> np.ndarray:
@@ -160,9 +160,9 @@ def _components(linked: np.ndarray, sig: np.ndarray) -> np.ndarray:
 def _bucket_rows(shared: DataFrame, table: DataFrame, rep: DataFrame, folder: str, block: int) -> DataFrame:
     """(key, i, j, block, sig, tokens, mine): members of each bucket, or of each pair of blocks of a large one, grouped and sorted."""
     kept = shared.groupBy("n", "same").agg(F.min("key").alias("key")).select("key")
-    mine = shared.join(kept, "key").groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("mine")).join(rep.select("sig", "row"), "sig")
+    mine = shared.join(kept, "key").groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("key", "n", "bytes"))).alias("mine")).join(rep.select("sig", "row"), "sig")
     rows = table.select("row", "tokens").join(stored(mine, f"{folder}/mine"), "row").select("sig", "tokens", F.col("mine.key").alias("mine"), F.explode("mine").alias("b"))
-    blocks = F.ceil(F.col("b.n") / F.lit(block)).cast("int")
+    blocks = F.ceil(F.greatest(F.col("b.n") / F.lit(block), F.col("b.bytes") / F.lit(BLOCK_BYTES))).cast("int")
     own = F.pmod(F.xxhash64("sig", F.col("b.key")), blocks).cast("int")
     rows = rows.select(F.col("b.key").alias("key"), "sig", "tokens", "mine", blocks.alias("blocks"), own.alias("block"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -251,37 +251,38 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: f
     spark = docs.sparkSession
     bound_batches(spark)
     folder = folder or shared_dir(spark, "chosen-path")
-    table = stored(sets(docs, key, text, width, similarity, runs(similarity, target, depth, nested=True)), f"{folder}/sets")
-    rep = stored(table.where("sig is not null").groupBy("sig").agg(F.min("row").alias("row"), F.min("id").alias("copy_id"), F.count(F.lit(1)).alias("n_copies")), f"{folder}/classes")
-    level = _shared(table.where("sig is not null").select(F.explode("keys").alias("key"), "sig"), f"{folder}/level1")
+    work = f"{folder}/work"
+    table = stored(sets(docs, key, text, width, similarity, runs(similarity, target, depth, nested=True)), f"{work}/sets")
+    rep = stored(table.where("sig is not null").groupBy("sig").agg(F.min("row").alias("row"), F.min("id").alias("copy_id"), F.count(F.lit(1)).alias("n_copies")), f"{work}/classes")
+    level = _shared(table.where("sig is not null").select(F.explode("keys").alias("key"), "sig", F.octet_length("tokens").alias("size")), f"{work}/level1")
     found = level
     for d in range(2, depth + 1):
         big = level.where(F.col("n") > limit)
         if big.isEmpty():
             break
-        level = _shared(_split(big.select("key", "sig"), table, rep, similarity), f"{folder}/level{d}")
+        level = _shared(_split(big.select("key", "sig"), table, rep, similarity), f"{work}/level{d}")
         found = found.where(F.col("n") <= limit).unionByName(level)
-    rows = _bucket_rows(found, table, rep, folder, block)
+    rows = _bucket_rows(found, table, rep, work, block)
     if pairs:
         out = _compared(rows, similarity, True)
         a, b = (rep.select(F.col("sig").alias(s), F.col("copy_id").alias(f"{s}_id")) for s in ("a", "b"))
         return out.join(a, "a").join(b, "b").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "similarity")
-    links = stored(_compared(rows, similarity, False), f"{folder}/links")
-    label = components(links, folder)
+    links = stored(_compared(rows, similarity, False), f"{work}/links")
+    label = components(links, work)
     ids = rep.select("sig", "copy_id", "n_copies")
     group = label.join(ids, "sig").groupBy("label").agg(F.min("copy_id").alias("class_id"))
     linked = label.join(group, "label").join(links.groupBy("sig").agg(F.sum("links").alias("n_links")), "sig").select("sig", "class_id", "n_links")
     known = stored(ids.join(linked, "sig", "left").where("n_copies > 1 or class_id is not null"), f"{folder}/known")
     narrow = stored(table.select("id", "sig"), f"{folder}/narrow")
-    for part in ("sets", "level1", "level2", "level3", "mine"):
-        delete(spark, f"{folder}/{part}")
+    delete(spark, work)
     out = narrow.join(known, "sig", "left")
     copy = F.coalesce("copy_id", "id")
     return out.select(F.col("id").alias(key), F.coalesce("class_id", copy).alias("class_id"), copy.alias("copy_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
-    """docs with one row of each class: that of the least id (a null id is the least). Of rows with the same id and text one stays."""
+    """docs with one row of each class: that of the least id (a null id is the least). Of rows with the same id and text one stays, that
+    with the least hash of all its columns."""
     folder = folder or shared_dir(docs.sparkSession, "deduplicate")
     keyed = docs.select(row_key(key, text).alias("key"), F.col(f"`{text}`").alias("text"))
     found = stored(join(keyed, "key", "text", folder=f"{folder}/join").select("key", "class_id"), f"{folder}/classes")
@@ -289,9 +290,24 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", folder
     again = stored(found.where("key = class_id").groupBy("key").count().where("count > 1").select("key"), f"{folder}/again")
     if again.isEmpty():
         return kept
-    name = "_again"
-    while name in kept.columns:
-        name = "_" + name
-    once = kept.withColumn(name, row_key(key, text))
-    repeated = once.join(again.select(F.col("key").alias(name)), name, "left_semi").dropDuplicates([name]).select(*[f"`{c}`" for c in docs.columns])
+    name, order = free_name(kept, "_again"), free_name(kept, "_order")
+    once = kept.withColumn(name, row_key(key, text)).withColumn(order, F.xxhash64(*[f"`{c}`" for c in docs.columns]))
+    repeated = once.join(again.select(F.col("key").alias(name)), name, "left_semi").groupBy(name).agg(F.min_by(F.struct(*[f"`{c}`" for c in docs.columns]), order).alias("row")).select("row.*")
     return without(kept, again, key, text).unionByName(repeated)
+
+
+_CAPITALS = "".join(map(chr, [*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF)]))
+#: DuckDB SQL for join() of `documents`, by comparing all sets that share a shingle: for small tables.
+ORACLE_SQL = f"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_CAPITALS}', '{_CAPITALS.lower()}'), '(?:[a-z0-9]|[^\\x00-\\x7F])+') AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+       ELSE list_sort(list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS t FROM w),
+k AS MATERIALIZED (SELECT row_number() OVER () AS g, t, min(doc_id) AS copy_id, count(*) AS n FROM s WHERE len(t) > 0 GROUP BY t),
+u AS MATERIALIZED (SELECT g, unnest(t) AS x, len(t) AS n FROM k),
+l AS MATERIALIZED (SELECT a.g AS a, b.g AS b FROM u a JOIN u b ON a.x = b.x AND a.g <> b.g GROUP BY a.g, b.g HAVING 9 * count(*) >= 4 * (min(a.n) + min(b.n))),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT r.a AS g, min(k.copy_id) AS class_id FROM r JOIN k ON k.g = r.b GROUP BY r.a),
+d AS (SELECT a AS g, count(*) AS n_links FROM l GROUP BY a)
+SELECT s.doc_id, coalesce(least(c.class_id, k.copy_id), k.copy_id, s.doc_id) AS class_id, coalesce(k.copy_id, s.doc_id) AS copy_id, CAST(coalesce(k.n, 1) AS BIGINT) AS n_copies, CAST(coalesce(d.n_links, 0) AS BIGINT) AS n_links
+FROM s LEFT JOIN k ON s.t = k.t LEFT JOIN c ON c.g = k.g LEFT JOIN d ON d.g = k.g
+"""

@@ -9,7 +9,9 @@ Reader: a task takes a byte range (chunk) of a file and emits every place that r
 with its successor: where the next record would begin by its length. Inside a chunk, successors are followed at once to the first place
 beyond it. Among chunks, pointer jumping from offset 0 doubles the distance each round, so a file of n chunks takes log2(n) rounds of joins
 on a row for each candidate entry. Only what offset 0 reaches is read as a record. Headers may have any length. A record cut off by the end of its file is left out;
-a chain that ends earlier, and one of fewer or more records than the files' column `records` says, if there is one, raise an error."""
+a chain that ends earlier, and one of fewer or more records than the files' column `records` says, if there is one, raise an error. So does a
+payload whose SHA-256 differs from a digest of that kind in its header, and, by check_revisits(), a revisit whose header states another size or digest
+than a record that was read has. Extra columns of pages, whatever their names, are not read; an empty table gives no file and no rows."""
 
 from __future__ import annotations
 
@@ -235,17 +237,19 @@ def _records(source: _Source, file: str, at: int, stop: int, with_payload: bool)
             digest.update(piece := source.read(k, min(READ_BYTES, begin + length - k)))
             if payload is not None:
                 payload.append(piece)
-        value = digest.hexdigest()
+        value, stated = digest.hexdigest(), fields.get("warc-payload-digest", "")
         if kind == "revisit":  # its payload is the other's
-            size, value = int(fields.get("x-payload-length") or 0), fields.get("warc-payload-digest", "").removeprefix("sha256:")
+            size, value = int(fields.get("x-payload-length") or 0), stated.removeprefix("sha256:")
+        elif stated.startswith("sha256:") and stated.removeprefix("sha256:") != value:
+            raise ValueError(f"{file}: the payload of the record at byte {at} has another digest than its header states")
         yield file, at, kind, unwrap(fields.get("warc-record-id")) or None, fields.get("warc-target-uri"), unwrap(fields.get("warc-refers-to")), size, value, None if payload is None or kind == "revisit" else b"".join(payload)
         at = begin + length + 4
     source.check_end(at)
 
 
 def read(files: DataFrame, folder: str | None = None, with_payload: bool = True, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Records (RECORD) of files (file, bytes and, to be compared with, records). Digest and size are of the bytes read; a revisit's are those its header states, and it has
-    no payload. folder holds the candidates and the rounds of pointer jumping."""
+    """Records (RECORD) of files (file, bytes and, to be compared with, records). Digest and size are of the bytes read; a revisit's are those its header
+    states, for check_revisits(), and it has no payload. folder holds the candidates and the rounds of pointer jumping."""
     spark: SparkSession = files.sparkSession
     folder = folder or shared_dir(spark, "warc")
     found = stored(candidates(chunks_of(files, chunk_bytes)), f"{folder}/candidates")
@@ -272,6 +276,15 @@ def read(files: DataFrame, folder: str | None = None, with_payload: bool = True,
     return into.repartition(tasks).mapInArrow(run, RECORD)
 
 
+def check_revisits(records: DataFrame) -> None:
+    """An error if a revisit names a record that isn't among records (RECORD, stored) or has another size or digest. Revisits of one record are
+    one row before anything moves."""
+    stated = records.where("record_type = 'revisit'").groupBy("refers_to", "payload_digest", "payload_bytes").agg(F.min("record_id").alias("record_id"))
+    known = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to"), "payload_digest", "payload_bytes").distinct()
+    if lost := stated.join(known, ["refers_to", "payload_digest", "payload_bytes"], "left_anti").first():
+        raise ValueError(f"the revisit {lost['record_id']} refers to {lost['refers_to']}, of which no record of its size and digest was read")
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=RECORD.names)
@@ -280,3 +293,12 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def files_under(spark: SparkSession, pattern: str) -> DataFrame:
     """(file, bytes) of the files that a path or pattern names, for read(); contents aren't loaded."""
     return spark.read.format("binaryFile").load(pattern).select(F.col("path").alias("file"), F.col("length").alias("bytes"))
+
+
+#: DuckDB SQL for the records of `pages` written and read back.
+ORACLE_SQL = """
+WITH p AS (SELECT page_id, url, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d),
+r AS (SELECT p.*, CASE WHEN n >= 100 AND (page_id IS NULL OR page_id > first) THEN first END AS refers_to FROM p LEFT JOIN f USING (d))
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, CAST(refers_to AS BIGINT) AS refers_to, url FROM r
+"""

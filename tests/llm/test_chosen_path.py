@@ -160,3 +160,32 @@ def test_the_join_makes_the_runs_of_the_worst_case(spark, prose):
     got = c.sets(spark.createDataFrame([(1, prose(1, 300))], "doc_id long, text string"), "doc_id", "text")
     want = c.sets(spark.createDataFrame([(1, prose(1, 300))], "doc_id long, text string"), "doc_id", "text", count=15)
     assert got.first()["keys"] == want.first()["keys"]
+
+
+def test_blocks_by_bytes_and_of_even_size(spark, prose, monkeypatch):
+    """One bucket of many near copies, some texts long: block pairs hold like shares of it, and the links are those of one block."""
+    base = prose(1, 300).split()
+    rows = [(i, " ".join([*base[: 290 + i % 10], f"own{i}"])) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r["doc_id"]: r.asDict() for r in c.join(docs, block=10_000).collect()}
+    sizes = []
+    groups = c._bucket_rows
+
+    def counted(*args):
+        out = groups(*args)
+        sizes.extend(r["count"] for r in out.groupBy("key", "i", "j").count().collect())
+        return out
+
+    monkeypatch.setattr(c, "_bucket_rows", counted)
+    monkeypatch.setattr(c, "BLOCK_BYTES", 20 * 4 * 300)
+    assert {r["doc_id"]: r.asDict() for r in c.join(docs).collect()} == want
+    assert max(sizes) <= 2 * 40
+    assert len(sizes) > 20
+
+
+def test_one_row_of_an_id_and_text_stays_whatever_the_order(spark, prose):
+    rows = [(1, prose(1, 40), x) for x in "cab"] + [(1, prose(2, 40), "d"), (2, prose(1, 40), "e"), (3, "", "f"), (3, "", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _order string")
+    got = sorted(tuple(r) for r in c.deduplicate(docs).collect())
+    assert got == sorted(tuple(r) for r in c.deduplicate(docs.orderBy("_order").repartition(3)).collect())
+    assert [r[:2] for r in got] == sorted([(1, prose(1, 40)), (1, prose(2, 40)), (3, "")])

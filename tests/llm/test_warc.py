@@ -93,3 +93,22 @@ def test_lost_records_raise(spark, tmp_path):
     assert warc.read(files.selectExpr("*", "3L as records")).count() == 3
     with pytest.raises(ValueError, match="3 records where 4 were written"):
         warc.read(files.selectExpr("*", "4L as records"))
+
+
+def test_a_changed_byte_is_reported(spark, tmp_path):
+    rows = [(1, "http://h/1", "x" * 300), (2, "http://h/" + "u" * 1_000_000, "y" * 200), (3, None, "x" * 300), (4, "http://h/4", "z")]
+    files = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/w")
+    got = warc.read(files, with_payload=False).drop("payload").cache()
+    assert {(r["record_id"], r["record_type"], r["payload_bytes"]) for r in got.collect()} == {("1", "response", 300), ("2", "response", 200), ("3", "revisit", 300), ("4", "response", 1)}
+    warc.check_revisits(got)
+    with pytest.raises(ValueError, match="refers to 1"):
+        warc.check_revisits(got.where("record_id <> '1'"))
+    (file,) = (tmp_path / "w" / "archives").glob("*.warc")
+    raw = file.read_bytes()
+    broken = tmp_path / "broken.warc"
+    broken.write_bytes(raw.replace(b"y" * 200, b"y" * 199 + b"Y"))
+    with pytest.raises(Exception, match="another digest"):
+        warc.read(warc.files_under(spark, f"file://{broken}")).count()
+    broken.write_bytes(raw.replace(b"X-Payload-Length: 300", b"X-Payload-Length: 301"))
+    with pytest.raises(ValueError, match="refers to 1"):
+        warc.check_revisits(warc.read(warc.files_under(spark, f"file://{broken}")).cache())
