@@ -489,6 +489,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
         return docs.select(F.col(f"`{key}`").alias(key), F.lit(False).alias("contaminated"), none.alias("leaks"))
     best = found.groupBy("h1", "h2", "item").agg(F.max_by(F.struct(*of_item.elementType.names), F.struct("lcs", "answer", "cosine", "start")).alias("leak"))
     per_text = stored(best.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("leak")).alias("leaks")), f"{folder}/leaks")
+    for k in range(g):
+        delete(spark, f"{folder}/found{k}")
+        delete(spark, f"{folder}/exact{k}")
     out = rows.join(per_text, ["h1", "h2"], "left")
     return out.select(F.col("id").alias(key), F.col("leaks").isNotNull().alias("contaminated"), F.coalesce("leaks", none).alias("leaks"))
 

@@ -64,10 +64,11 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def make():
         def row(media: bytes) -> tuple:
-            brand, codec, handler, seconds, n, keys, ranges, problem = isomedia.describe(media)
+            brand, tracks, problem = isomedia.describe(media)
             payload = isomedia.samples(media, isomedia.parse(media)[1][0])
-            places = ",".join(f"{r['start']}-{r['stop']}" for r in ranges)
-            feature = f"{brand.strip()}/{codec.strip()}/{handler} {seconds:.2f}s {n} samples {keys} keyframes at {places}{problem}"
+            t = tracks[0]
+            places = ",".join(f"{r['start']}-{r['stop']}" for r in t["keyframe_ranges"])
+            feature = f"{brand.strip()}/{t['codec'].strip()}/{t['handler']} {t['duration_s']:.2f}s {t['n_samples']} samples {t['n_keyframes']} keyframes at {places}{problem}"
             return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
         def work(part):
