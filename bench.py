@@ -52,9 +52,8 @@ def main() -> None:
     out["ingest_6_dims"] = best(ingest)
     out["fit_6_dims"] = best(lambda: Session(from_frame(lines(), dims), bins=4096).dispose())
     s = open_session()
-    first = s.refresh().collect()
-    before = spark.createDataFrame(first, "dim string, bin int, count bigint").coalesce(1).cache()
-    before.count()
+    s.refresh("delta")
+    kept = s._kept
     refresh = lambda: s.refresh().collect()
 
     def with_filter(name, bounds, run):
@@ -69,7 +68,25 @@ def main() -> None:
     out["filter_narrow_2pct"] = best(with_filter("l_extendedprice", (2007, 2089), refresh))
     out["filter_mid_50pct"] = best(with_filter("l_extendedprice", (1024, 3071), refresh))
     out["filter_wide_80pct"] = best(with_filter("l_extendedprice", (410, 3686), refresh))
-    out["delta_replace"] = best(lambda: s.refresh_with(before, "l_extendedprice", (2000, 4095)).collect())
+
+    def delta(bounds, of=None):
+        def go():
+            s._kept = of or kept
+            s.dimension("l_extendedprice").filter(bounds)
+            s.refresh("delta").collect()
+            s.dimension("l_extendedprice").clear()
+
+        return go
+
+    out["delta_replace"] = best(delta((2000, 4095)))
+    s.dimension("l_extendedprice").filter((2000, 3000))
+    s._kept = None
+    s.refresh("delta")
+    brushed = s._kept
+    out["delta_brush"] = best(delta((2020, 3020), brushed))
+    s.build_index("l_extendedprice")
+    out["delta_brush_indexed"] = best(delta((2020, 3020), brushed))
+    s.dimension("l_extendedprice").clear()
     out["one_histogram"] = best(lambda: histograms.histogram(s.rows(), s.dims["l_quantity"]).collect())
     out["active_count"] = best(with_filter("l_quantity", (1000, 3000), s.count))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from binweave.adapter import Classic
 from binweave.functions.quantize import bin_of
 from binweave.operators import deltas, derived, filters, histograms, index
-from binweave.plans.encode import Options, encode, fit
+from binweave.plans.encode import Options, dump_fit, encode, fit, load_fit
 from binweave.session import Session
 from binweave.sources.tables import Table, from_frame
 
@@ -285,7 +285,7 @@ _ROWS = f"(SELECT 'l_quantity' AS dim, l_quantity AS bin, s FROM m UNION ALL SEL
 @_query(f"{_L}, m AS (SELECT *, (l_quantity BETWEEN 600 AND 900)::INT - (l_quantity BETWEEN 500 AND 800)::INT AS s FROM b WHERE l_tax BETWEEN 0 AND 600) SELECT dim, bin, CAST(sum(s) AS BIGINT) AS count FROM {_ROWS} GROUP BY 1, 2 HAVING sum(s) <> 0")
 def delta_added_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _filtered(_lines(spark, sf_dir), l_quantity=(500, 800), l_tax=(0, 600))
-    return deltas.changes(s.encoded, list(s.dims.values()), s.filters, "l_quantity", (600, 900))
+    return deltas.changes(s.rows, list(s.dims.values()), s.filters, "l_quantity", (600, 900))
 
 
 @_query(f"{_L} {_union('l_quantity BETWEEN 600 AND 900 AND l_tax BETWEEN 0 AND 600')}")
@@ -300,6 +300,68 @@ def delta_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.refresh_with(s.refresh(), "l_quantity", None)
 
 
+@_query(f"{_L} {_union('l_quantity BETWEEN 600 AND 900 AND l_tax BETWEEN 0 AND 600')}")
+def refresh_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept counts and the rows that came or went, range by range."""
+    s = _filtered(_lines(spark, sf_dir), l_tax=(0, 600))
+    for bounds in ((500, 800), (650, 700), (600, 900)):
+        s.refresh("delta")
+        s.dimension("l_quantity").filter(bounds)
+    return s.refresh("delta")
+
+
+@_query(f"{_R} SELECT l_quantity AS bin, count(*) AS count, round(sum(v), 2) AS sum, round(sum(v) / count(*), 4) AS avg FROM b WHERE l_discount BETWEEN 150 AND 900 GROUP BY 1")
+def delta_reduce_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _filtered(_lines(spark, sf_dir, ("l_quantity", "l_discount"), values=["l_extendedprice"]), l_discount=(200, 700))
+    group = s.group("l_quantity").reduce_sum("l_extendedprice")
+    return group.all_with(group.all(), "l_discount", (150, 900)).select("bin", "count", F.round("sum", 2).alias("sum"), F.round("avg", 4).alias("avg"))
+
+
+@_query(f"{_L} SELECT CAST(l_extendedprice // 18 AS INTEGER) AS bin, CAST(count(*) AS BIGINT) AS count FROM b WHERE l_discount BETWEEN 300 AND 1000 GROUP BY 1")
+def delta_coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _filtered(_lines(spark, sf_dir), l_discount=(200, 700))
+    group = s.group("l_extendedprice", coarse_bins=60)
+    return group.coarse_with(group.coarse(), "l_discount", (300, 1000))
+
+
+@_query(f"{_L} {_union('l_quantity BETWEEN 100 AND 130 AND l_extendedprice BETWEEN 500 AND 700')}")
+def refresh_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two indexes, of which the narrower filter's is read."""
+    s = _lines(spark, sf_dir)
+    s.build_index("l_quantity")
+    s.build_index("l_extendedprice")
+    return _filtered(s, l_quantity=(100, 130), l_extendedprice=(500, 700)).refresh()
+
+
+@_query(f"{_L} {_union('l_quantity BETWEEN 256 AND 767')}")
+def fit_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session from a stored fit."""
+    stored = dump_fit(list(_lines(spark, sf_dir).dims.values()))
+    s = _lines(spark, sf_dir, fitted=load_fit(stored))
+    return _filtered(s, l_quantity=(256, 767)).refresh()
+
+
+@_query("SELECT bin, count(*) AS count FROM (SELECT CAST(CASE n_regionkey WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 1 END AS INTEGER) AS bin FROM nation) GROUP BY 1")
+def hist_codes_as_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A code without a label is its own text: 4 is the label of code 1."""
+    s = Session(from_frame(_read(spark, sf_dir, "nation"), ["n_regionkey"], labels={"n_regionkey": ("zero", "4", "two", "three")}), bins=8)
+    return histograms.histogram(s.rows(), s.dims["n_regionkey"])
+
+
+_FIRST = "SELECT '{0}' AS dim, CAST(least(code, 15) AS INTEGER) AS bin, CAST(count(*) AS BIGINT) AS count FROM {1} JOIN (SELECT {0} AS label, row_number() OVER (ORDER BY min(o_orderkey), {0}) - 1 AS code FROM {1} GROUP BY 1) ON {0} = label GROUP BY 2"
+
+
+@_query(" UNION ALL ".join(_FIRST.format(c, "orders") for c in ("o_orderstatus", "o_orderpriority")))
+def hist_two_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Session(from_frame(_read(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"], "o_orderkey"), bins=16).refresh()
+
+
+@_query(f"WITH st AS (SELECT max(l_quantity)::DOUBLE AS hi FROM lineitem) SELECT {_bin('CAST(l_quantity AS DOUBLE)', '10.0::DOUBLE', 'hi', 8)} AS bin, count(*) AS count FROM lineitem, st GROUP BY 1")
+def one_sided_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _lines(spark, sf_dir, ("l_quantity",), 256, dimensions={"l_quantity": {"domain": (10, None)}})
+    return histograms.histogram(s.rows(), s.dims["l_quantity"])
+
+
 @_query(
     "SELECT * FROM (VALUES ('shift', 'added', 8, 9), ('shift', 'removed', 2, 3), ('shrink', 'removed', 2, 2), ('shrink', 'removed', 7, 7), ('grow', 'added', 2, 2), ('grow', 'added', 7, 7),"
     " ('apart', 'added', 5, 6), ('apart', 'removed', 1, 2), ('clear', 'added', 0, 2), ('clear', 'added', 6, 15)) t(name, kind, low, high)"

@@ -35,6 +35,10 @@ def all_of(conditions: Iterable[Column]) -> Column:
     return reduce(and_, conditions, F.lit(True))
 
 
+def any_of(conditions: Iterable[Column]) -> Column:
+    return reduce(or_, conditions, F.lit(False))
+
+
 def active(dims: Mapping[str, Dimension], filters: Mapping[str, Range], without: str | None = None) -> Column:
     """Whether a row meets all filters (but that of one dimension)."""
     return all_of(within(dims[name], r) for name, r in filters.items() if name != without)
@@ -60,7 +64,8 @@ def range_diff(old: Range | None, new: Range | None, bins: int) -> tuple[list[Ra
 
 
 def in_any(dim: Dimension, ranges: Iterable[Range]) -> Column:
-    return reduce(or_, (within(dim, r) for r in ranges), F.lit(False))
+    """Whether a row's bin is in one of some ranges."""
+    return any_of(within(dim, r) for r in ranges)
 
 
 def signed(dim: Dimension, old: Range | None, new: Range | None) -> Column:

@@ -4,9 +4,12 @@ bins of each task, whatever the rows."""
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binweave.functions.quantize import MAX_BITS, bin_value
@@ -29,6 +32,26 @@ def all_histograms(encoded: DataFrame, dims: Sequence[Dimension], weight: Column
     return rows.groupBy("cell").agg(total.alias("count")).select(names.alias("dim"), F.col("cell").bitwiseAND(F.lit((1 << MAX_BITS) - 1)).alias("bin"), "count")
 
 
+def to_arrays(hists: DataFrame, dims: Sequence[Dimension]) -> dict[str, np.ndarray]:
+    """The counts of (dim, bin, count) by dimension, brought to the driver: a number for each bin."""
+    found = hists.toArrow()
+    out = {d.name: np.zeros(d.bins, np.int64) for d in dims}
+    bins, count = found["bin"].to_numpy(), found["count"].to_numpy()
+    for d in dims:
+        own = pc.equal(found["dim"], d.name).to_numpy()
+        out[d.name][bins[own]] = count[own]
+    return out
+
+
+def from_arrays(spark: SparkSession, counts: Mapping[str, np.ndarray]) -> DataFrame:
+    """(dim, bin, count) of the bins that have rows."""
+    names = list(counts)
+    full = [np.flatnonzero(counts[n]) for n in names]
+    dim = pa.array(names, pa.string()).take(pa.array(np.repeat(np.arange(len(names)), [len(at) for at in full])))
+    bins, count = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (full, [counts[n][at] for n, at in zip(names, full, strict=True)]))
+    return spark.createDataFrame(pa.table([dim, pa.array(bins.astype(np.int32)), pa.array(count)], names=["dim", "bin", "count"]))
+
+
 def dense(hist: DataFrame, dim: Dimension) -> DataFrame:
     """All bins of a dimension, with count 0 where a histogram has none; both sides have at most 65,536 rows."""
     every = hist.sparkSession.range(dim.bins).select(F.col("id").cast("int").alias("bin"))

@@ -14,8 +14,10 @@ from binweave.plans.storage import shared_dir, stored
 
 
 def clustered(encoded: DataFrame, dim: Dimension) -> DataFrame:
-    """The table by ranges of bins, sorted in each partition, so that a range of bins reads few cache batches or row groups."""
-    return encoded.repartitionByRange(F.col(dim.column)).sortWithinPartitions(dim.column)
+    """The table by ranges of bins and rows, sorted in each partition, so that a range of bins reads few cache batches or row groups. A bin of
+    many rows is split among partitions by their place in the table."""
+    numbered = encoded.withColumn("_row", F.monotonically_increasing_id())
+    return numbered.repartitionByRange(F.col(dim.column), F.col("_row")).sortWithinPartitions(dim.column).drop("_row")
 
 
 def offsets(encoded: DataFrame, dim: Dimension) -> DataFrame:

@@ -6,14 +6,16 @@ of the fit, null texts are ''; with null_as="zero" null numbers count as 0 and n
 
 from __future__ import annotations
 
+import json
 import math
 import sys
 import warnings
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from functools import reduce
 from operator import and_
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,7 +57,8 @@ class Dimension:
 
 @dataclass(frozen=True)
 class Options:
-    """bins: of all dimensions; dimensions: name -> bins, coarse_bins, domain (low, high) of that one."""
+    """bins: of all dimensions; dimensions: name -> bins, coarse_bins, domain (low, high) of that one, where None is
+    the least or largest value."""
 
     bins: float | None = None
     dimensions: Mapping[str, Mapping] = field(default_factory=dict)
@@ -86,34 +89,43 @@ def _numeric(table: Table, name: str, null_as: str) -> Column:
 
 def fit(table: Table, options: Options = Options()) -> list[Dimension]:
     """The fitted dimensions of a table, in its order."""
-    numbers = [n for n, t in table.types.items() if t == "number" and not options.dimensions.get(n, {}).get("domain")]
-    stats = _ranges(table, numbers, options.null_as)
+    sides = {n: options.dimensions.get(n, {}).get("domain") or (None, None) for n, t in table.types.items() if t == "number"}
+    stats = _ranges(table, [n for n, side in sides.items() if None in side], options.null_as)
+    found = _labels(table, {n: 1 << options.bits(n) for n, t in table.types.items() if t == "string" and n not in table.labels}, options.null_as)
     out = []
     for k, (name, kind) in enumerate(table.types.items()):
-        own = options.dimensions.get(name, {})
         bits = options.bits(name)
-        coarse = own.get("coarse_bins")
+        coarse = options.dimensions.get(name, {}).get("coarse_bins")
         if kind == "string":
             labels = table.labels.get(name)
             if labels is None:
-                found = _labels(table, name, 1 << bits, options.null_as)
-                out.append(Dimension(name, k, kind, bits, labels=tuple(found), coarse_bins=coarse))
+                out.append(Dimension(name, k, kind, bits, labels=tuple(found[name]), coarse_bins=coarse))
             else:
                 if len(labels) > 1 << bits:
                     warnings.warn(f"{name} has {len(labels)} labels in {1 << bits} bins", stacklevel=2)
                 out.append(Dimension(name, k, kind, bits, labels=tuple(labels), coded=True, coarse_bins=coarse))
             continue
-        if domain := own.get("domain"):
-            low, high = map(float, domain)
-            out.append(Dimension(name, k, kind, bits, Scale(low, high if high > low else low + 1, bits), coarse_bins=coarse))
-            continue
-        low, high, clean = stats[name]
-        if low is None or low == high:
+        low, high, clean = stats.get(name, (None, None, False))
+        if sides[name] != (None, None):  # both sides are given, or the other is that of the values
+            low, high = (float(x) if x is not None else y for x, y in zip(sides[name], (low, high), strict=True))
+            low = low if low is not None else high - 1
+            high = high if high is not None and high > low else low + 1
+        elif low is None or low == high:
             low, high = 0.0, float(1 << bits)
         out.append(Dimension(name, k, kind, bits, Scale(low, high, bits), clean=clean, coarse_bins=coarse))
     return out
 
 
+def dump_fit(dims: Sequence[Dimension]) -> str:
+    """Fitted dimensions as JSON, for load_fit()."""
+    return json.dumps([asdict(d) for d in dims])
+
+
+def load_fit(text: str) -> list[Dimension]:
+    """Fitted dimensions from JSON, equal to those that dump_fit() was given."""
+    return [Dimension(**{**d, "scale": Scale(**d["scale"]) if d["scale"] else None, "labels": tuple(d["labels"])}) for d in json.loads(text)]
+
+
 def _ranges(table: Table, names: Sequence[str], null_as: str) -> dict[str, tuple[float | None, float | None, bool]]:
     """(least, largest, clean) of finite values, by one aggregation of all columns; those that turn out to have NaN or infinite values, which
     show as a range that isn't finite, take one more."""
@@ -132,16 +144,30 @@ def _ranges(table: Table, names: Sequence[str], null_as: str) -> dict[str, tuple
     return out
 
 
-def _labels(table: Table, name: str, bins: int, null_as: str) -> list[str]:
-    """The first labels by row order, at most bins."""
+def _labels(table: Table, bins: Mapping[str, int], null_as: str) -> dict[str, list[str]]:
+    """The first labels of each of some columns by row order, at most so many of each, by one aggregation of all."""
+    if not bins:
+        return {}
     if table.order_by is None:
-        raise ValueError(f"{name} is coded by first appearance: order_by must name the row order")
-    label = raw_text(F.col(f"`{name}`"), null_as)
-    seen = table.df.groupBy(label.alias("label")).agg(F.min(F.col(f"`{table.order_by}`")).alias("at"))
-    rows = seen.orderBy(F.col("at").asc_nulls_last(), "label").limit(max(bins, MANY_LABELS + 1)).select("label").collect()
-    if len(rows) > MANY_LABELS:
-        warnings.warn(f"{name} has over {MANY_LABELS} labels", stacklevel=3)
-    return [r[0] for r in rows[:bins]]
+        raise ValueError(f"{', '.join(bins)}: text is coded by first appearance, and order_by must name the row order")
+    names = list(bins)
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), raw_text(F.col(f"`{n}`"), null_as).alias("label")) for k, n in enumerate(names)])).alias("x")
+    seen = table.df.select(each, F.col(f"`{table.order_by}`").alias("at")).groupBy("x.k", "x.label").agg(F.min("at").alias("at"))
+    if len(names) > 1:
+        seen = seen.persist(StorageLevel.MEMORY_AND_DISK)
+    found = None
+    for k, n in enumerate(names):  # a limit for each column: tasks keep their first labels, no window gathers a column's
+        first = seen.where(F.col("k") == k).orderBy(F.col("at").asc_nulls_last(), "label").limit(max(bins[n], MANY_LABELS + 1))
+        found = first if found is None else found.unionByName(first)
+    out: dict[str, list[tuple]] = {n: [] for n in names}
+    for k, label, at in found.select("k", "label", "at").collect():
+        out[names[k]].append((at is None, at, label))
+    if len(names) > 1:
+        seen.unpersist()
+    for n, rows in out.items():
+        if len(rows) > MANY_LABELS:
+            warnings.warn(f"{n} has over {MANY_LABELS} labels", stacklevel=3)
+    return {n: [r[2] for r in sorted(rows, key=lambda r: (r[0], 0 if r[0] else r[1], r[2]))[: bins[n]]] for n, rows in out.items()}
 
 
 def _codes(df: DataFrame, table: Table, dim: Dimension, null_as: str) -> tuple[DataFrame, Column]:
@@ -151,7 +177,11 @@ def _codes(df: DataFrame, table: Table, dim: Dimension, null_as: str) -> tuple[D
         codes = F.array(*[F.lit(min(last[label], dim.bins - 1)) for label in dim.labels])
         code = F.col(f"`{dim.name}`").cast("double")
         whole = finite(code) & (code >= 0) & (code < len(dim.labels)) & (code == F.floor(code))
-        return df, F.when(whole, F.element_at(codes, code.cast("int") + 1)).otherwise(F.lit(dim.fallback))
+        # a code without a label is its own text, which may be a label
+        text = F.when(code == F.floor(code), code.cast("decimal(38,0)").cast("string")).otherwise(code.cast("string"))
+        place = F.array_position(F.array(*[F.lit(x) for x in dim.labels]), F.coalesce(text, F.lit("NaN")))
+        other = F.when(place > 0, F.element_at(codes, F.greatest(place, F.lit(1)).cast("int"))).otherwise(F.lit(dim.fallback))
+        return df, F.when(whole, F.element_at(codes, code.cast("int") + 1)).otherwise(other)
     label, key, value = f"l_{dim.column}", f"k_{dim.column}", f"c_{dim.column}"
     words = df.sparkSession.createDataFrame([(x, i) for i, x in enumerate(dim.labels)], T.StructType([T.StructField(key, T.StringType()), T.StructField(value, T.IntegerType())]))
     df = df.withColumn(label, raw_text(F.col(f"`{dim.name}`"), null_as))
@@ -160,10 +190,13 @@ def _codes(df: DataFrame, table: Table, dim: Dimension, null_as: str) -> tuple[D
 
 
 def encode(table: Table, dims: Sequence[Dimension], values: Sequence[str] = (), keep: Sequence[str] = (), null_as: str = "missing") -> DataFrame:
-    """Bins b0, b1, ... (by position), floats v0, v1, ... of value columns (null, NaN: 0; unknown columns: 0), and the columns keep."""
+    """Bins b0, b1, ... (by position; 0 for dimensions whose column the table lacks), floats v0, v1, ... of value columns (null, NaN: 0; unknown
+    columns: 0), and the columns keep."""
     df, made = table.df, []
     for d in dims:
-        if d.type == "number":
+        if d.name not in table.df.columns:
+            made.append(F.lit(0).alias(d.column))
+        elif d.type == "number":
             made.append(quantize(_numeric(table, d.name, null_as), d.scale, d.clean).alias(d.column))
         else:
             df, code = _codes(df, table, d, null_as)
@@ -184,6 +217,8 @@ def within_values(df: DataFrame, dim: Dimension, low: float, high: float) -> Col
     scan; None where the column isn't a plain number.
 
     Bin 0 also holds null, NaN and infinite values; in Spark NaN is above all numbers, so an upper bound shuts NaN and infinity out."""
+    if dim.name not in df.columns:
+        return None
     scale, kind = dim.scale, df.schema[dim.name].dataType
     whole = isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
     if scale is None or not scale.factor or not (whole or isinstance(kind, T.DoubleType)):

@@ -5,6 +5,7 @@ Filters are ranges of bins, and a dimension's own filter applies to its own hist
 from __future__ import annotations
 
 import logging
+import math
 import os
 import time
 import warnings
@@ -12,6 +13,7 @@ import weakref
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,16 +34,20 @@ class Session:
     """A table encoded for linked filtering.
 
     cache keeps the encoded table in memory and on disk, for many refreshes of one table; without it each refresh reads the source with
-    filters and needed columns pushed down. Use it as a context manager or call dispose()."""
+    filters and needed columns pushed down. fitted: dimensions of another session (or of load_fit()), so that the table isn't scanned to fit them; columns
+    that the table lacks are bin 0. Use it as a context manager or call dispose()."""
 
-    def __init__(self, table: Table | DataFrame, bins: float | None = None, dimensions: Mapping[str, Mapping] | None = None, values: Sequence[str] = (), keep: Sequence[str] = (), order_by: str | None = None, dims: Sequence[str] | None = None, null_as: str = "missing", cache: bool = False, guard: bool = True):
+    def __init__(self, table: Table | DataFrame, bins: float | None = None, dimensions: Mapping[str, Mapping] | None = None, values: Sequence[str] = (), keep: Sequence[str] = (), order_by: str | None = None, dims: Sequence[str] | None = None, null_as: str = "missing", cache: bool = False, guard: bool = True, fitted: Sequence[Dimension] | None = None):
         self.table = table if isinstance(table, Table) else from_frame(table, dims, order_by)
         self.options = Options(bins, dict(dimensions or {}), null_as)
         self.values, self.keep = list(values), list(keep)
-        self.dims: dict[str, Dimension] = {d.name: d for d in fit(self.table, self.options)}
+        self.dims: dict[str, Dimension] = {d.name: d for d in (fit(self.table, self.options) if fitted is None else fitted)}
         self.filters: dict[str, filters.Range] = {}
         self.reductions: dict[str, tuple[str, str]] = {}
-        self.planner, self.last_profile, self._indexes = Planner(guard), None, {}
+        self.planner, self.last_profile = Planner(guard), None
+        self._indexes: dict[str, tuple[DataFrame, dict]] = {}
+        self._base: dict[str, np.ndarray] | None = None
+        self._kept: tuple[dict[str, filters.Range], dict[str, np.ndarray]] | None = None
         self._encoded = encode(self.table, list(self.dims.values()), self.values, self.keep, null_as)
         self.cached, self.disposed, self.sequence = cache, False, 0
         self._cube: DataFrame | None = None
@@ -63,7 +69,7 @@ class Session:
         """Give back the cache; once is enough, more is no error."""
         if not self.disposed:
             self.disposed = True
-            self._drop_cube()
+            self._drop_derived()
             if self._end is not None:
                 self._end()
 
@@ -72,6 +78,13 @@ class Session:
             self._cube.unpersist()
             self._cube = None
 
+    def _drop_derived(self) -> None:
+        """Forget all that was made from the encoded table."""
+        self._drop_cube()
+        for frame, _ in self._indexes.values():
+            frame.unpersist()
+        self._indexes, self._base, self._kept = {}, None, None
+
     def when_idle(self) -> None:
         """Nothing is ever pending: results are computed when they are read."""
 
@@ -99,7 +112,7 @@ class Session:
         new = fit(Table(own.df, own.types, own.order_by), opts)[0]
         self.table, self.options = table, opts
         self.dims[name] = Dimension(**{**new.__dict__, "position": len(self.dims)})
-        self._drop_cube()
+        self._drop_derived()
         encoded = encode(table, list(self.dims.values()), self.values, self.keep, self.options.null_as)
         if self.cached:
             self._end()
@@ -112,29 +125,43 @@ class Session:
     def encoded(self) -> DataFrame:
         return self._encoded
 
-    def rows(self, ranges: Mapping[str, filters.Range] | None = None) -> DataFrame:
-        """Encoded rows that meet the filters (or the given ones). Uncached, filters of plain numbers are comparisons of the source's
-        values, made by its scan, and only the rows left are encoded."""
-        ranges = dict(self.filters if ranges is None else ranges)
+    def rows(self, ranges: Mapping[str, filters.Range] | None = None, any_of: Mapping[str, Sequence[filters.Range]] | None = None) -> DataFrame:
+        """Encoded rows that meet the filters (or the given ranges), and any of the ranges of each dimension of any_of. An index of one of these
+        dimensions is read where there is one. Uncached, filters of plain numbers are comparisons of the source's values, made by its
+        scan, and only the rows left are encoded."""
+        ranges, any_of = dict(self.filters if ranges is None else ranges), dict(any_of or {})
+        wanted = {**{n: [r] for n, r in ranges.items()}, **{n: [*r] for n, r in any_of.items()}}  # a dimension is in one of both
+        both = lambda w: filters.all_of(filters.in_any(self.dims[n], r) for n, r in w.items())
+        indexed = [n for n in wanted if n in self._indexes]
+        if indexed:
+            width = lambda n: sum(max(0, b - a + 1) for a, b in wanted[n]) / self.dims[n].bins
+            return self._indexes[min(indexed, key=width)][0].where(both(wanted))
         if self.cached or self.options.null_as == "zero":
-            return self._encoded.where(filters.active(self.dims, ranges))
-        at_source = {n: c for n, r in ranges.items() if (c := within_values(self.table.df, self.dims[n], *r)) is not None}
+            return self._encoded.where(both(wanted))
+        at_source = {}
+        for n, each in wanted.items():
+            parts = [within_values(self.table.df, self.dims[n], *r) for r in each]
+            if all(p is not None for p in parts):
+                at_source[n] = filters.any_of(parts)
         if not at_source:
-            return self._encoded.where(filters.active(self.dims, ranges))
+            return self._encoded.where(both(wanted))
         left = Table(self.table.df.where(filters.all_of(at_source.values())), self.table.types, self.table.order_by, self.table.labels)
         encoded = encode(left, list(self.dims.values()), self.values, self.keep, self.options.null_as)
-        return encoded.where(filters.active(self.dims, {n: r for n, r in ranges.items() if n not in at_source}))
+        return encoded.where(both({n: r for n, r in wanted.items() if n not in at_source}))
 
     def refresh(self, strategy: str = "auto") -> DataFrame:
         """(dim, bin, count) of all dimensions over the active rows.
 
         strategy: scan (all dimensions by one pass and one shuffle), separate (a pass for each), cube (from the joint counts, built if need be),
+        delta (the counts of the last such refresh, kept by the driver, at most as many as there are bins, and the rows that came or went since),
         or auto (cube where one is built, else scan). All give the same rows."""
         dims = list(self.dims.values())
         if strategy == "auto":
             strategy = "scan" if self._cube is None else "cube"
         if strategy == "scan" or not dims:
             return histograms.all_histograms(self.rows(), dims)
+        if strategy == "delta":
+            return self._refresh_kept()
         if strategy == "separate":
             rows = self.rows()
             each = [histograms.histogram(rows, d).select(F.lit(d.name).alias("dim"), "bin", "count") for d in dims]
@@ -145,6 +172,19 @@ class Session:
             self.build_cube()
         return histograms.all_histograms(self._cube.where(filters.active(self.dims, self.filters)), dims, F.col("n"))
 
+    def _refresh_kept(self) -> DataFrame:
+        dims = list(self.dims.values())
+        before, counts = self._kept or ({}, None)
+        changed = [n for n in {**before, **self.filters} if before.get(n) != self.filters.get(n)]
+        if counts is None or len(changed) > 1:
+            counts = histograms.to_arrays(histograms.all_histograms(self.rows(), dims), dims)
+        elif changed:
+            new = self.filters.get(changed[0])
+            change = histograms.to_arrays(deltas.changes(self.rows, dims, before, changed[0], new), dims)
+            counts = {n: c + change[n] for n, c in counts.items()}
+        self._kept = (dict(self.filters), counts)
+        return histograms.from_arrays(self._encoded.sparkSession, counts)
+
     def build_cube(self) -> int:
         """Keep the joint counts of all dimensions, and return how many combinations there are. Worth it where they are far fewer than rows."""
         self._drop_cube()
@@ -153,55 +193,85 @@ class Session:
 
     def refresh_with(self, before: DataFrame, name: str, new: filters.Range | None) -> DataFrame:
         """What refresh() gives after the filter of a dimension becomes new, from the histograms before it and the rows that come or go."""
-        change = deltas.changes(self._encoded, list(self.dims.values()), self.filters, name, new)
+        change = deltas.changes(self.rows, list(self.dims.values()), self.filters, name, new)
         return deltas.apply_changes(before, change)
 
     def count(self) -> int:
         """Active rows."""
         return self.rows().count()
 
+    def _unfiltered(self) -> dict[str, np.ndarray]:
+        """Counts by bin of all dimensions without filters: one job in a session's life, and at most as many numbers as there are bins."""
+        if self._base is None:
+            dims = list(self.dims.values())
+            self._base = histograms.to_arrays(histograms.all_histograms(self.rows({}), dims), dims)
+        return self._base
+
+    def _inside(self, name: str, bounds: filters.Range | None) -> int:
+        """Rows whose bin is in a range."""
+        counts = self._unfiltered()[name]
+        if bounds is None:
+            return int(counts.sum())
+        low, high = math.ceil(max(bounds[0], 0)), math.floor(min(bounds[1], len(counts) - 1))
+        return int(counts[low : high + 1].sum()) if low <= high else 0
+
+    def clear_work(self, name: str) -> Work:
+        """What clearing a filter takes, by the unfiltered histograms, as if dimensions were independent."""
+        total = self._inside(name, None)
+        others = math.prod(self._inside(n, r) / max(total, 1) for n, r in self.filters.items() if n != name)
+        outside = total - self._inside(name, self.filters.get(name))
+        return Work(outside * others, total * others, len(self.dims))
+
     def clear_strategy(self, name: str) -> str:
         """How the planner would refresh if the filter of a dimension were cleared: 'delta' or 'recompute'."""
-        ranges = {k: r for k, r in self.filters.items() if k != name}
-        total, active_ = self._encoded.count(), self.count()
-        inside = self._encoded.where(filters.within(self.dims[name], self.filters[name])).count() if name in self.filters else total
-        return self.planner.choose(Work(inside, total - inside, total, len(self.dims), len(ranges), active_))
-
-    def clear_with_profile(self, name: str, before: DataFrame) -> DataFrame:
-        """Clear a filter by the planner's choice and collect the histograms; the planner and profile() learn from it."""
-        how, old = self.clear_strategy(name), self.filters.get(name)
+        return self.planner.choose(self.clear_work(name))
+
+    def clear_with_profile(self, name: str, before: DataFrame | None = None) -> DataFrame:
+        """Clear a filter by the planner's choice; the planner and profile() learn from it. before: the histograms under it; else those that the last
+        refresh("delta") kept serve."""
+        work, old = self.clear_work(name), self.filters.get(name)
+        how = self.planner.choose(work) if before is not None or self._kept else "recompute"
+        total, inside = self._inside(name, None), self._inside(name, old)
         started = time.perf_counter()
-        out = self.refresh_with(before, name, None) if how == "delta" else None
-        self.filters.pop(name, None)
-        out = self.refresh() if out is None else out
-        rows = out.collect()
-        ms = (time.perf_counter() - started) * 1000
-        total = self._encoded.count()
-        self.planner.record(how, ms, total)
-        self.last_profile = {"dimension": name, "strategy": how, "fallback": how == "recompute", "range": old, "ms": ms, "rows": total}
-        log.debug("cleared %s by %s in %.1f ms", name, how, ms)
-        return out.sparkSession.createDataFrame(rows, out.schema)
+        if how == "delta" and before is not None:
+            out = self.refresh_with(before, name, None)
+            self.dimension(name).clear()
+        else:
+            self.dimension(name).clear()
+            if how == "recompute":
+                self._kept = None
+            out = self.refresh("delta")
+        rows = out.toArrow()
+        seconds = time.perf_counter() - started
+        self.planner.record(how, seconds, work)
+        low, high = (0, self.dims[name].bins - 1) if old is None else (math.ceil(max(old[0], 0)), math.floor(min(old[1], self.dims[name].bins - 1)))
+        self.last_profile = {
+            "dimension": name, "strategy": how, "fallback": how == "recompute", "range": old, "range_bins": max(0, high - low + 1), "ms": seconds * 1000, "rows": total,
+            "inside_rows": inside, "outside_rows": total - inside, "outside_fraction": (total - inside) / max(total, 1),
+        }
+        log.debug("cleared %s by %s in %.1f ms", name, how, seconds * 1000)
+        return self._encoded.sparkSession.createDataFrame(rows, out.schema)
 
     def profile(self) -> dict | None:
         return self.last_profile
 
+    def planner_snapshot(self) -> dict:
+        return self.planner.snapshot()
+
     def build_index(self, name: str) -> dict:
-        """Cluster the cached table by a dimension's bins; again is no work."""
+        """Keep a copy of the encoded table clustered by a dimension's bins, which filters of it then read; again is no work. Each index is a copy in
+        memory or on disk until dispose() or add_dimension()."""
         dim = self.dimension(name).dim
         if name not in self._indexes:
             started = time.perf_counter()
-            clustered = index.clustered(self._encoded, dim).persist(StorageLevel.MEMORY_AND_DISK)
-            rows = clustered.count()
-            if self._end is not None:
-                self._end()
-            self._encoded, self.cached = clustered, True
-            self._end = weakref.finalize(self, clustered.unpersist)
-            self._indexes[name] = {"ready": True, "ms": (time.perf_counter() - started) * 1000, "bytes": index.size_bytes(rows, dim)}
-        return self._indexes[name]
+            frame = index.clustered(self._encoded, dim).persist(StorageLevel.MEMORY_AND_DISK)
+            rows = frame.count()
+            self._indexes[name] = (frame, {"ready": True, "ms": (time.perf_counter() - started) * 1000, "bytes": index.size_bytes(rows, dim)})
+        return self._indexes[name][1]
 
     def index_status(self, name: str) -> dict:
         self.dimension(name)
-        return self._indexes.get(name, {"ready": False})
+        return self._indexes[name][1] if name in self._indexes else {"ready": False}
 
 
 class DimensionHandle:
@@ -275,6 +345,25 @@ class Group:
         self.session.reductions[self.dim.name] = (kind, column)
         return self
 
+    def _change_of(self, by: str) -> tuple[Dimension, Mapping[str, filters.Range]]:
+        return self.session.dimension(by).dim, self.session.filters
+
+    def coarse_with(self, before: DataFrame, by: str, new: filters.Range | None) -> DataFrame:
+        """What coarse() gives after the filter of a dimension becomes new, from what it gave before and the rows that come or go."""
+        dim, present = self._change_of(by)
+        return deltas.apply_changes(before, deltas.coarse_changes(self.session.rows, self.dim, self.coarse_bins or self.dim.bins, dim, present, new))
+
+    def all_with(self, before: DataFrame, by: str, new: filters.Range | None) -> DataFrame:
+        """What all() gives after the filter of a dimension becomes new, from what it gave before and the rows that come or go; for counts and
+        sums, as least and largest values cannot be taken back. Sums are of doubles, so their last digits may differ."""
+        s = self.session
+        kind, column = s.reductions.get(self.dim.name, ("sum", None))
+        if kind != "sum":
+            raise ValueError(f"a {kind} cannot be taken back; use all()")
+        dim, present = self._change_of(by)
+        value = F.col(f"v{s.values.index(column)}") if column is not None else F.lit(0.0)
+        return deltas.apply_changes(before, deltas.sum_changes(s.rows, self.dim, value, dim, present, new)).orderBy("bin")
+
     def all(self) -> DataFrame:
         """(bin, count, and the reduction) of the bins that have rows, by bin."""
         s = self.session

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from binweave.adapter import Classic
 from binweave.functions.quantize import bin_of
-from binweave.operators import filters, histograms
+from binweave.operators import deltas, filters, histograms, index
 from binweave.operators.derived import brush, pixels_to_values
+from binweave.plans.encode import dump_fit, load_fit
 from binweave.sandbox import Field, SimpleEngine
 from binweave.session import Session
 from binweave.sources import generate
@@ -202,11 +203,92 @@ def test_clear_with_profile(spark):
     s = values(spark, range(64), 16)
     s.dimension("value").filter((2, 13))
     before = s.refresh()
-    assert s.clear_strategy("value") == "delta"
+    assert s.clear_strategy("value") == "recompute"  # so few rows are counted at once
     after = s.clear_with_profile("value", before)
     assert snapshot(after) == snapshot(s.refresh())
-    assert s.profile()["strategy"] == "delta"
-    assert s.planner.snapshot()["delta_ms_seen"] == 1
+    assert s.profile() | {"ms": 0} == {"dimension": "value", "strategy": "recompute", "fallback": True, "range": (2, 13), "range_bins": 12, "ms": 0, "rows": 64, "inside_rows": s._inside("value", (2, 13)), "outside_rows": 64 - s._inside("value", (2, 13)), "outside_fraction": 1 - s._inside("value", (2, 13)) / 64}
+    assert s.planner_snapshot()["recompute_seconds_seen"] == 1
+    s.planner.choose = lambda work: "delta"
+    for kept in (False, True):
+        s.dimension("value").filter((2, 13))
+        before = s.refresh("delta") if kept else s.refresh()
+        after = s.clear_with_profile("value", None if kept else before)
+        assert snapshot(after) == snapshot(s.refresh())
+        assert s.profile()["strategy"] == "delta"
+    assert s.planner_snapshot()["delta_seconds_seen"] == 2
+
+
+def test_deltas_of_sums_and_coarse_bins(spark):
+    s = Session(from_frame(generate.uniform(spark, 3000, 3), ["dim0", "dim1"]), bins=16, values=["dim2"])
+    group = s.group("dim1", coarse_bins=5).reduce_sum("dim2")
+    for old, new in ((None, (2, 9)), ((2, 9), (4.5, 99)), ((3, 8), None), ((1, 4), (6, 9)), ((9, 2), (0, 3)), ((0, 3), (9, 2)), ((2, 7), (2, 7))):
+        s.dimension("dim0").clear()
+        if old:
+            s.dimension("dim0").filter(old)
+        sums, coarse = group.all(), group.coarse()
+        got, rough = group.all_with(sums, "dim0", new).collect(), snapshot(group.coarse_with(coarse, "dim0", new).withColumn("dim", F.lit("x")))
+        s.refresh("delta")
+        s.dimension("dim0").clear()
+        if new:
+            s.dimension("dim0").filter(new)
+        want = group.all().collect()
+        assert [r["bin"] for r in got] == [r["bin"] for r in want]
+        assert [r["count"] for r in got] == [r["count"] for r in want]
+        assert [r["sum"] for r in got] == pytest.approx([r["sum"] for r in want])
+        assert [r["avg"] for r in got] == pytest.approx([r["avg"] for r in want])
+        assert rough == snapshot(group.coarse().withColumn("dim", F.lit("x")))
+        assert snapshot(s.refresh("delta")) == snapshot(s.refresh("scan"))
+    group.reduce_min("dim2")
+    with pytest.raises(ValueError, match="taken back"):
+        group.all_with(group.all(), "dim0", None)
+
+
+def test_deltas_read_changed_bins_alone(spark, tmp_path):
+    generate.uniform(spark, 2000, 2).write.parquet(str(tmp_path / "t"))
+    s = Session(from_frame(spark.read.parquet(str(tmp_path / "t")), ["dim0", "dim1"]), bins=1024)
+    s.dimension("dim0").filter((100, 200))
+    change = deltas.changes(s.rows, list(s.dims.values()), s.filters, "dim0", (110, 205))
+    plan = change._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [Or(" in plan
+    assert "GreaterThanOrEqual(dim0" in plan
+    assert snapshot(s.refresh_with(s.refresh(), "dim0", (110, 205))) == snapshot(Session(s.table, fitted=list(s.dims.values())).dimension("dim0").filter((110, 205)).session.refresh())
+
+
+def test_indexes_tell_the_truth(spark):
+    s = Session(from_frame(generate.uniform(spark, 3000, 3), ["dim0", "dim1"]), bins=32)
+    s.dimension("dim0").filter((3, 9))
+    s.dimension("dim1").filter((5, 7))
+    want = snapshot(s.refresh())
+    for name in ("dim0", "dim1"):
+        s.build_index(name)
+        assert snapshot(s.refresh()) == want
+    assert s.index_status("dim0")["ready"]
+    assert s.index_status("dim1")["ready"]
+    s.add_dimension("dim2")
+    assert s.index_status("dim0") == s.index_status("dim1") == {"ready": False}
+    hot = spark.range(40_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).cast("int").alias("b0"), "id")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # which would join such small partitions
+    sizes = index.clustered(hot, s.dims["dim0"]).groupBy(F.spark_partition_id()).count().collect()
+    spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(sizes) > 1
+    assert max(r["count"] for r in sizes) < 2.5 * 40_000 / len(sizes)
+    s.dispose()
+
+
+def test_stored_fits_and_absent_columns(spark):
+    df = spark.createDataFrame([(i, f"w{i % 3}", float(i)) for i in range(30)], "i int, w string, x double")
+    s = Session(from_frame(df, ["w", "x"], "i"), bins=8)
+    fitted = load_fit(dump_fit(list(s.dims.values())))
+    assert fitted == list(s.dims.values())
+    assert snapshot(Session(from_frame(df, ["w", "x"], "i"), fitted=fitted).refresh()) == snapshot(s.refresh())
+    less = Session(from_frame(df.drop("x"), ["w"], "i"), fitted=fitted)
+    assert [(r["bin"], r["count"]) for r in less.refresh().where("dim = 'x'").collect()] == [(0, 30)]
+    less.dimension("x").filter((0, 3))
+    assert less.count() == 30
+    half = Session(from_frame(df, ["x"]), bins=8, dimensions={"x": {"domain": (None, 15)}})
+    assert (half.dims["x"].scale.low, half.dims["x"].scale.high) == (0, 15)
+    codes = Session(from_columns(spark, {"c": [0, 1, 7, 2.5, None, 9]}, {"c": ["7", "x", "2.5", "NaN"]}), bins=8)
+    assert [r["b0"] for r in codes.encoded.collect()] == [0, 1, 0, 2, 3, 3]
 
 
 def test_too_many_sessions(spark, monkeypatch):
