@@ -362,6 +362,15 @@ def one_sided_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histograms.histogram(s.rows(), s.dims["l_quantity"])
 
 
+@_query(
+    f"{_L} SELECT CAST((l_quantity BETWEEN 500 AND 800)::INT + (l_tax BETWEEN 0 AND 600)::INT AS INTEGER) AS before, CAST((l_quantity BETWEEN 600 AND 900)::INT + (l_tax BETWEEN 0 AND 600)::INT AS INTEGER) AS after,"
+    " count(*) AS rows FROM b GROUP BY 1, 2"
+)
+def filter_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _filtered(_lines(spark, sf_dir), l_quantity=(500, 800), l_tax=(0, 600))
+    return deltas.transitions(s.encoded, s.dims, s.filters, "l_quantity", (600, 900))
+
+
 @_query(
     "SELECT * FROM (VALUES ('shift', 'added', 8, 9), ('shift', 'removed', 2, 3), ('shrink', 'removed', 2, 2), ('shrink', 'removed', 7, 7), ('grow', 'added', 2, 2), ('grow', 'added', 7, 7),"
     " ('apart', 'added', 5, 6), ('apart', 'removed', 1, 2), ('clear', 'added', 0, 2), ('clear', 'added', 6, 15)) t(name, kind, low, high)"

@@ -11,7 +11,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from binweave.operators.filters import Range, range_diff, signed
+from binweave.operators.filters import Range, range_diff, satisfied, signed
 from binweave.operators.histograms import all_histograms, coarse
 from binweave.plans.encode import Dimension
 
@@ -65,3 +65,10 @@ def apply_changes(before: DataFrame, change: DataFrame) -> DataFrame:
     both = before.select(*keys, *added).unionByName(change.select(*keys, *added))
     out = both.groupBy(*keys).agg(*[F.sum(c).cast("long" if c == "count" else "double").alias(c) for c in added]).where("count <> 0")
     return out.withColumn("avg", F.col("sum") / F.col("count")) if "sum" in added else out
+
+
+def transitions(encoded: DataFrame, dims: Mapping[str, Dimension], filters: Mapping[str, Range], name: str, new: Range | None) -> DataFrame:
+    """(before, after, rows): how many rows met so many filters before and meet so many after the filter of a dimension becomes new. Rows that
+    become active are those whose count reaches that of the filters."""
+    later = {**{n: r for n, r in filters.items() if n != name}, **({} if new is None else {name: new})}
+    return encoded.groupBy(satisfied(dims, filters).alias("before"), satisfied(dims, later).alias("after")).agg(F.count(F.lit(1)).alias("rows"))

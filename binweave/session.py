@@ -30,6 +30,11 @@ MANY_SESSIONS = 5
 _sessions: weakref.WeakSet = weakref.WeakSet()
 
 
+def _unpersist(frames: list[DataFrame]) -> None:
+    while frames:
+        frames.pop().unpersist()
+
+
 class Session:
     """A table encoded for linked filtering.
 
@@ -51,6 +56,8 @@ class Session:
         self._encoded = encode(self.table, list(self.dims.values()), self.values, self.keep, null_as)
         self.cached, self.disposed, self.sequence = cache, False, 0
         self._cube: DataFrame | None = None
+        self._frames: list[DataFrame] = []  # cubes and indexes, given back when the session goes
+        self._end_frames = weakref.finalize(self, _unpersist, self._frames)
         if cache:
             self._encoded = self._encoded.persist(StorageLevel.MEMORY_AND_DISK)
         self._end = weakref.finalize(self, self._encoded.unpersist) if cache else None
@@ -76,13 +83,13 @@ class Session:
     def _drop_cube(self) -> None:
         if self._cube is not None:
             self._cube.unpersist()
+            self._frames.remove(self._cube)
             self._cube = None
 
     def _drop_derived(self) -> None:
         """Forget all that was made from the encoded table."""
         self._drop_cube()
-        for frame, _ in self._indexes.values():
-            frame.unpersist()
+        _unpersist(self._frames)
         self._indexes, self._base, self._kept = {}, None, None
 
     def when_idle(self) -> None:
@@ -189,6 +196,7 @@ class Session:
         """Keep the joint counts of all dimensions, and return how many combinations there are. Worth it where they are far fewer than rows."""
         self._drop_cube()
         self._cube = histograms.cube(self._encoded, list(self.dims.values())).persist(StorageLevel.MEMORY_AND_DISK)
+        self._frames.append(self._cube)
         return self._cube.count()
 
     def refresh_with(self, before: DataFrame, name: str, new: filters.Range | None) -> DataFrame:
@@ -265,6 +273,7 @@ class Session:
         if name not in self._indexes:
             started = time.perf_counter()
             frame = index.clustered(self._encoded, dim).persist(StorageLevel.MEMORY_AND_DISK)
+            self._frames.append(frame)
             rows = frame.count()
             self._indexes[name] = (frame, {"ready": True, "ms": (time.perf_counter() - started) * 1000, "bytes": index.size_bytes(rows, dim)})
         return self._indexes[name][1]
