@@ -86,7 +86,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(docs: list[bytes], langs: list[str], dim: int = 16, epochs: int = 8, rate: float = 4.0, reject: float = 0.002, seed: int = 7) -> LanguageModel:
+def train(docs: list[bytes], langs: list[str], dim: int = 16, epochs: int = 8, rate: float = 4.0, reject: float = 0.0005, seed: int = 7) -> LanguageModel:
     """Fit on whole texts. A fifth of them (chosen by seed) sets temperature and the threshold below which `reject` of the rightly
     predicted ones fall, halved for safety."""
     names = sorted(set(langs))
