@@ -357,19 +357,21 @@ def targets(weight: np.ndarray, space: np.ndarray, parts: list[tuple[int, np.nda
 def candidates(ids: np.ndarray, first: np.ndarray, used: np.ndarray, mapped: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Windows (as the number of their first half among those of all texts), parts and cosines above COSINE; and the texts' first halves."""
     passage, term, begin = passages(ids, first, _HALF, used)
-    half = np.zeros((int(begin[-1]) + 1, mapped.shape[1]), np.float32)
-    for a in range(0, len(term), TERMS):
-        p, t = passage[a : a + TERMS], term[a : a + TERMS]
-        new = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
-        half[p[new]] += np.add.reduceat(mapped[t], new)
-    last = np.zeros(len(half), bool)
+    halves = int(begin[-1])
+    last = np.zeros(halves, bool)
     last[begin[1:][np.diff(begin) > 0] - 1] = True
     window, part, value = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
     step = max(32, (1 << 18) // max(target.shape[1], 1))
-    for a in range(0, int(begin[-1]), step):
-        b = min(a + step, int(begin[-1]))
-        y = half[a:b].copy()
-        y[~last[a:b]] += half[a + 1 : b + 1][~last[a:b]]
+    for a in range(0, halves, step):  # so many windows, and the half behind them
+        b = min(a + step, halves)
+        low, high = np.searchsorted(passage, (a, b + 1)).tolist()
+        half = np.zeros((b + 1 - a, mapped.shape[1]), np.float32)
+        for k in range(low, high, TERMS):
+            p, t = passage[k : min(k + TERMS, high)] - a, term[k : min(k + TERMS, high)]
+            new = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+            half[p[new]] += np.add.reduceat(mapped[t], new)
+        y = half[:-1].copy()
+        y[~last[a:b]] += half[1:][~last[a:b]]
         length = np.maximum(np.sqrt(np.einsum("ij,ij->i", y, y)), 1e-9)
         cosine = y @ target
         k, i = np.nonzero(cosine > COSINE * length[:, None])

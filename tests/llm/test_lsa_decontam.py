@@ -289,3 +289,33 @@ def test_short_items_occur_word_for_word(spark, prose):
     assert all(plain(text[r["doc_id"]])[x["start"] : x["stop"]] == short[x["item"]] for r in out for x in r["leaks"] if x["item"] in short)
     alone = d.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([b for b in bench if b[0] in short], "item_id long, text string"))
     assert {(r["doc_id"], x["item"]) for r in alone.collect() for x in r["leaks"]} == want
+
+
+def test_windows_of_long_texts_take_bounded_memory():
+    """Candidates of texts together are those of each alone, and a text of a million words takes a few arrays of its length."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    size = 500
+    texts = [rng.integers(0, size + 1, n).astype(np.uint16) for n in (0, 5, 23, 24, 25, 47, 48, 49, 3000, 70_000, 1)]
+    mapped, target = rng.normal(size=(size, 32)).astype(np.float32), rng.normal(size=(32, 40)).astype(np.float32)
+    target /= np.linalg.norm(target, axis=0)
+    used = np.append(False, rng.random(size) < 0.8)
+
+    def found(group):
+        first = np.concatenate([[0], np.cumsum([len(t) for t in group])])
+        window, part, value, begin = d.candidates(np.concatenate(group), first, used, mapped, target)
+        doc = np.searchsorted(begin, window, side="right") - 1
+        return sorted(zip(doc.tolist(), (window - begin[doc]).tolist(), part.tolist(), value.round(3).tolist(), strict=True))
+
+    together = found(texts)
+    assert [x[:3] for x in together] == [(i, *x[1:3]) for i, t in enumerate(texts) for x in found([t])]
+    i, w, p, value = together[len(together) // 2]
+    ids = texts[i][w * d._HALF : (w + 2) * d._HALF]
+    vector = sum(mapped[np.unique(h[used[h]]).astype(int) - 1].sum(0) for h in (ids[: d._HALF], ids[d._HALF :]))
+    assert value == pytest.approx(float(vector @ target[:, p] / np.linalg.norm(vector)), abs=2e-3)
+    long = np.tile(texts[9], 15)
+    tracemalloc.start()
+    found([long])
+    assert tracemalloc.get_traced_memory()[1] < 220 * len(long)
+    tracemalloc.stop()
